@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimgraph.functions.ids import norm_id
 from claimgraph.llm.leakage import leaked_spans
 from claimgraph.llm.mixture import mixture, plan_mix, sized
+from claimgraph.llm.neighbours import Index, exploded, nearest, similar_keys
 from claimgraph.llm.reading import reading_levels
 from claimgraph.llm.split import split
 from claimgraph.llm.terms import distinctive_terms, top_terms
@@ -55,6 +56,23 @@ def p3_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_terms(distinctive_terms(term_items(spark, sf_dir)), 5)
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "embedded_records")
+    return exploded(records, norm_id(F.col("record_id")), F.col("model_id"), F.col("vectors"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similar_keys(Index(vectors(spark, sf_dir), threshold=0.9), 0.9)
+    return pairs.select(F.col("key_a").alias("record_id_a"), F.col("key_b").alias("record_id_b"))
+
+
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every twentieth record: those whose hash is divisible by 20 ask, all answer."""
+    rows = vectors(spark, sf_dir)
+    asking = rows.where(F.crc32("key") % 20 == 0)
+    return nearest(Index(rows, queries=asking), 10)
+
+
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "eval_items")
     fields = items.select(F.col("item_id").alias("item"), F.lit("question").alias("field"), F.col("question").alias("text"))
@@ -110,6 +128,8 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p3_found": p3_found,
     "p3_top_terms": p3_top_terms,
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
     "p6_found": p6_found,
     "p6_spans": p6_spans,
     "p7_found": p7_found,
