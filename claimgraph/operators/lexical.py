@@ -18,6 +18,8 @@ from claimgraph.session import Workspace
 K1, B = 1.2, 0.75
 PRUNE_ABOVE, PRUNE_FROM = 0.5, 10
 NEAR_BYTES = 5
+#: Scores that are equal to so many places tie.
+TIE = 9
 #: Asked terms up to which they are broadcast; they are counted before.
 BROADCAST_TERMS = 200_000
 
@@ -36,8 +38,8 @@ class TextIndex:
             self.passages = toks.select("record_id", F.lit(0).alias("passage"), "toks")
         else:
             n = passage_tokens
-            starts = F.sequence(F.lit(0), F.floor((F.size("toks") - 1) / n))
-            self.passages = toks.select("record_id", F.explode(starts).cast("int").alias("passage"), "toks").select(
+            starts = F.sequence(F.lit(0), F.floor((F.size("toks") - 1) / n).cast("int"))
+            self.passages = toks.select("record_id", F.explode(starts).alias("passage"), "toks").select(
                 "record_id", "passage", F.slice("toks", F.col("passage") * n + 1, F.lit(n)).alias("toks")
             )
         self.lengths = self.passages.select("record_id", "passage", F.size("toks").alias("length"))
@@ -179,9 +181,9 @@ def search(
         .withColumn("admitted", F.coalesce("admitted", F.lit(False)))
         .join(small(per_query.select("query_id", "total_idf")), "query_id")
     )
-    w = Window.partitionBy("query_id", "admitted").orderBy(F.desc("score"), "seq")
+    w = Window.partitionBy("query_id", "admitted").orderBy(F.round("score", TIE).desc(), "seq")
     ranked = ranked.select(
         "query_id", "record_id", "seq", "score", (F.col("matched") / F.col("total_idf")).alias("coverage"), "admitted",
         F.row_number().over(w).alias("rank"),
     )
-    return Candidates(ranked, per_query, terms)
+    return Candidates(ws.table(ranked, "ranked"), per_query, terms)

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.text import fold_py, folded_stopwords, tokens
-from claimgraph.operators.lexical import Candidates
+from claimgraph.operators.lexical import TIE, Candidates
+from claimgraph.session import Workspace
 
 
 @dataclass(frozen=True)
@@ -68,13 +69,13 @@ def fuse(lexical: DataFrame, vector: DataFrame, rrf_k: float | None = 0.0, weigh
         "query_id", "record_id", score.alias("score"), nought(F.col("relevance")).alias("relevance"),
         nought(F.col("similarity")).alias("similarity"), via.alias("via"), F.coalesce("lr", "vr").alias("first_rank"),
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_rank", "record_id")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", TIE).desc(), "first_rank", "record_id")
     return fused.withColumn("fused_rank", F.row_number().over(w)).drop("first_rank")
 
 
 def rank_similar(similar: DataFrame, records: DataFrame) -> DataFrame:
     """``similar`` (query_id, record_id, similarity) with ranks; ties in log order."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "seq")
+    w = Window.partitionBy("query_id").orderBy(F.round("similarity", TIE).desc(), "seq")
     return similar.join(records.select("record_id", "seq"), "record_id").withColumn("rank", F.row_number().over(w))
 
 
@@ -222,7 +223,7 @@ def gap_offers(candidates: Candidates, similar: DataFrame, records: DataFrame, o
     gaps = met.join(records.where(F.col("kind") == "gap").select("record_id"), "record_id", "left_semi")
     # A question without words has nothing that could be covered.
     gaps = gaps.join(candidates.queries.where(F.col("total_idf") > 0).select("query_id"), "query_id", "left_semi")
-    w = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("similarity"), "record_id")
+    w = Window.partitionBy("query_id").orderBy(F.round("coverage", TIE).desc(), F.round("similarity", TIE).desc(), "record_id")
     return gaps.withColumn("n", F.row_number().over(w)).where(F.col("n") <= o.gap_budget)
 
 
@@ -238,7 +239,9 @@ def retrieve(candidates: Candidates, similar: DataFrame, records: DataFrame, o:
     """``records``: record_id, seq, kind, shape, attr_name, subject, refs, text of the whole log.
     ``similar``: query_id, record_id, similarity of admitted records, maybe none.
     ``expansion``: query_id, record_id and n, what ``graph.expand`` adds behind the items."""
-    listed = list_items(candidates, similar, records, o)
+    ws = Workspace(records.sparkSession, "retrieve")
+    similar = ws.table(similar, "similar")
+    listed = ws.table(list_items(candidates, similar, records, o), "listed")
     first = listed.where("position = 1").select("query_id", "relevance", "coverage")
     if expansion is not None:
         size = listed.groupBy("query_id").agg(F.max("position").alias("size"))
@@ -249,7 +252,7 @@ def retrieve(candidates: Candidates, similar: DataFrame, records: DataFrame, o:
         listed = listed.unionByName(more)
     words = candidates.terms.groupBy("query_id").agg(F.collect_set("asked").alias("a"), F.collect_set("read").alias("r"))
     words = words.select("query_id", F.array_union("a", "r").alias("terms"))
-    items = apply_budget(listed, records, words, o.k, o.max_tokens)
+    items = ws.table(apply_budget(listed, records, words, o.k, o.max_tokens), "items")
 
     counts = listed.groupBy("query_id").agg(F.count("*").alias("total"))
     held = items.groupBy("query_id").agg(F.count("*").alias("items"))
@@ -261,7 +264,7 @@ def retrieve(candidates: Candidates, similar: DataFrame, records: DataFrame, o:
     outcome = F.when(F.col("total") == 0, "none").when(sure, "matches").otherwise("weak_matches")
     q = q.withColumn("outcome", outcome)
 
-    gaps = gap_offers(candidates, similar, records, o)
+    gaps = ws.table(gap_offers(candidates, similar, records, o), "gaps")
     shadow = candidates.ranked.where("NOT admitted")
     answers_ = shadow.join(records.where(F.col("kind") != "gap").select("record_id"), "record_id", "left_semi")
     top = answers_.groupBy("query_id").agg(F.min_by(F.struct("record_id", "score", "coverage"), "rank").alias("top"))
@@ -274,6 +277,7 @@ def retrieve(candidates: Candidates, similar: DataFrame, records: DataFrame, o:
         )
         .select("query_id", "top.record_id", "top.coverage", "count")
     )
+    beyond = ws.table(beyond, "beyond")
     q = q.join(gaps.select("query_id").distinct().withColumn("gap", F.lit("registered_gap")), "query_id", "left")
     q = q.join(beyond.select("query_id", F.lit("beyond_view").alias("hidden")), "query_id", "left")
     outcomes = q.select(
