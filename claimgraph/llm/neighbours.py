@@ -57,14 +57,14 @@ class Router:
         return np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
 
 
-def neighbour_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
+def neighbour_graph(x: np.ndarray, k: int, block: int = 256) -> np.ndarray:
     """The k nearest rows of each row, by cosine."""
     k = min(k, len(x) - 1)
     near = np.empty((len(x), max(k, 0)), np.int64)
     for a in range(0, len(x) if k > 0 else 0, block):
-        s = x[a : a + block] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        near[a : a + block] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        s = -(x[a : a + block] @ x.T)
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = np.inf
+        near[a : a + block] = np.argpartition(s, k - 1, axis=1)[:, :k]
     return near
 
 
@@ -127,6 +127,7 @@ def learn(x: np.ndarray, classes: int, threshold: float | None, seed: int = 0) -
     """
     parts = min(MAX_PARTITIONS, max(1, classes // PARTITION), max(1, len(x) // 16))
     depth = int(parts - 1).bit_length()
+    x = x.astype(np.float32)
     near = neighbour_graph(x, GRAPH_K)
     part = balanced_partition(near, depth, seed) if near.shape[1] else np.zeros(len(x), np.int64)
     weights = train_classifier(x, part, 2**depth, seed)
