@@ -304,7 +304,7 @@ def parse_register_rows(rows: DataFrame) -> DataFrame:
     ``**Resolved`` is settled, on the date behind it and by the first decision named there.
     """
     trimmed = F.trim(F.col("raw_row"))
-    cells = F.transform(F.split(F.regexp_replace(trimmed, r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(trimmed, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     cell = lambda i: F.get("cells", F.lit(i))
     out = rows.withColumn("cells", cells).withColumns(
         {"unknown_id": cell(0), "question": cell(1), "trigger_text": cell(2), "notes": cell(3)}

@@ -78,7 +78,8 @@ def _ids(c: Column, prefix: str) -> Column:
 def number_text(d: Column) -> Column:
     """A double as its shortest decimal, whole ones without a point, never with an exponent."""
     whole = F.when((d == F.floor(d)) & (F.abs(d) < 1e15), F.floor(d).cast("decimal(38,0)").cast("string"))
-    return F.coalesce(whole, F.regexp_replace(d.cast("decimal(38,17)").cast("string"), r"0+$", ""))
+    plain = F.regexp_replace(d.cast("decimal(38,17)").cast("string"), r"(\.\d*?)0+$", "$1")
+    return F.coalesce(whole, F.regexp_replace(plain, r"\.$", ""))
 
 
 def value_text(value: Column) -> Column:
