@@ -18,6 +18,8 @@ from claimgraph.session import Workspace
 K1, B = 1.2, 0.75
 PRUNE_ABOVE, PRUNE_FROM = 0.5, 10
 NEAR_BYTES = 5
+#: Scores are added in whole parts of this size.
+FINE = 1e12
 #: Scores that are equal to so many places tie.
 TIE = 9
 #: Asked terms up to which they are broadcast; they are counted before.
@@ -32,15 +34,14 @@ class TextIndex:
     """
 
     def __init__(self, documents: DataFrame, passage_tokens: int | None = None):
-        self.documents = documents.select("record_id", "seq", "refs")
-        toks = documents.select("record_id", tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
+        toks = documents.select("record_id", "seq", "refs", tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
         if passage_tokens is None:
-            self.passages = toks.select("record_id", F.lit(0).alias("passage"), "toks")
+            self.passages = toks.withColumn("passage", F.lit(0))
         else:
             n = passage_tokens
             starts = F.sequence(F.lit(0), F.floor((F.size("toks") - 1) / n).cast("int"))
-            self.passages = toks.select("record_id", F.explode(starts).alias("passage"), "toks").select(
-                "record_id", "passage", F.slice("toks", F.col("passage") * n + 1, F.lit(n)).alias("toks")
+            self.passages = toks.withColumn("passage", F.explode(starts)).withColumn(
+                "toks", F.slice("toks", F.col("passage") * n + 1, F.lit(n))
             )
         self.lengths = self.passages.select("record_id", "passage", F.size("toks").alias("length"))
 
@@ -54,12 +55,16 @@ class TextIndex:
             F.count("*").alias("df")
         )
 
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """``term, record_id, passage, tf``, of the given terms only (they must be few)."""
-        rows = self.passages.select("record_id", "passage", F.explode("toks").alias("term"))
+    def postings(self, terms: DataFrame | None = None, refs: bool = False) -> DataFrame:
+        """``term, record_id, seq, passage, length, tf``, of the given terms only (they must be few).
+
+        Documents that lie partitioned by record_id stay so: nothing is shuffled then.
+        """
+        held = ["record_id", "seq", "passage", "length", *(["refs"] if refs else [])]
+        rows = self.passages.withColumn("length", F.size("toks")).select(*held, F.explode("toks").alias("term"))
         if terms is not None:
             rows = rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-        return rows.groupBy("term", "record_id", "passage").agg(F.count("*").alias("tf"))
+        return rows.groupBy("term", *held).agg(F.count("*").alias("tf"))
 
 
 @dataclass
@@ -135,11 +140,8 @@ def search(
     terms = ws.table(kept.select("query_id", "asked", "read", "df", "idf", "n", "avgdl"), "terms")
 
     hits = terms.where(F.col("read").isNotNull())
-    postings = index.postings(hits.select(F.col("read").alias("term")))
-    if not few:
-        postings = index.postings()
-    found = postings.withColumnRenamed("term", "read").join(small(hits), "read")
-    found = found.join(index.lengths, ["record_id", "passage"]).join(index.documents, "record_id")
+    wanted = hits.select(F.col("read").alias("term")) if few else None
+    found = index.postings(wanted, refs=scope is not None).withColumnRenamed("term", "read").join(small(hits), "read")
     if scope is not None:
         scoped = scope.groupBy("query_id").agg(F.collect_set("entity_id").alias("wanted"))
         found = found.join(F.broadcast(scoped), "query_id", "left").where(
@@ -147,14 +149,10 @@ def search(
         )
     tf, norm = F.col("tf"), 1.0 - B + B * F.col("length") / F.col("avgdl")
     part = F.col("idf") * (tf * (K1 + 1.0)) / (tf + K1 * norm)
-    # Sums of floats depend on their order: the words are added in their own order.
-    add = lambda field: F.aggregate(
-        "parts", F.lit(0.0), lambda s, p: s + p[field]
-    )
-    passages = (
-        found.groupBy("query_id", "record_id", "seq", "passage")
-        .agg(F.array_sort(F.collect_list(F.struct("asked", part.alias("score"), "idf"))).alias("parts"))
-        .select("query_id", "record_id", "seq", "passage", add("score").alias("score"), add("idf").alias("matched"))
+    # Sums of floats depend on their order; whole numbers of billionths of a thousandth do not.
+    whole = lambda c: F.sum(F.round(c * FINE).cast("long")) / FINE
+    passages = found.groupBy("query_id", "record_id", "seq", "passage").agg(
+        whole(part).alias("score"), whole(F.col("idf")).alias("matched")
     )
     best = passages.groupBy("query_id", "record_id", "seq").agg(
         F.max_by(F.struct("score", "matched"), F.struct("score", -F.col("passage"))).alias("b")

@@ -84,12 +84,14 @@ def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     return x
 
 
-def exact_similar(documents: DataFrame, queries: DataFrame, dims: int, k: int | None = None, above: float = 0.0) -> DataFrame:
+def exact_similar(
+    documents: DataFrame, queries: DataFrame, dims: int, k: int | None = None, above: float = 0.0, unique: bool = False
+) -> DataFrame:
     """``query_id, key, similarity``: each question's documents of cosine greater than ``above``.
 
     ``documents``: key, vector; ``queries``: query_id, vector, a bounded set that is compared in
     blocks with every row. With k, the k best; ties by key. A document in several rows counts
-    with its best. Vectors of another length are similar to nothing.
+    with its best; say ``unique`` where there are none. Vectors of another length are similar to nothing.
     """
     asked = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).toPandas()
     if len(asked) > MAX_QUERIES:
@@ -113,7 +115,8 @@ def exact_similar(documents: DataFrame, queries: DataFrame, dims: int, k: int |
     rows = documents.select("key", "vector").mapInPandas(
         compare, f"query_id {kinds['query_id']}, key {kinds['key']}, similarity double"
     )
-    rows = rows.groupBy("query_id", "key").agg(F.max("similarity").alias("similarity"))
+    if not unique:
+        rows = rows.groupBy("query_id", "key").agg(F.max("similarity").alias("similarity"))
     if k is None:
         return rows
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")

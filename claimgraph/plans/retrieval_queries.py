@@ -44,7 +44,7 @@ def _similar(s: SparkSession, d: str, k: int | None = None) -> DataFrame:
         F.col("record_id").alias("key"), vectors.hash_embed(F.col("text"), DIMS).alias("vector")
     )
     q = asked.select("query_id", vectors.hash_embed(F.col("text"), DIMS).alias("vector"))
-    return vectors.exact_similar(docs, q, DIMS, k).withColumnRenamed("key", "record_id")
+    return vectors.exact_similar(docs, q, DIMS, k, unique=True).withColumnRenamed("key", "record_id")
 
 
 def _nothing(s: SparkSession) -> DataFrame:
