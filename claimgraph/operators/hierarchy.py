@@ -1,8 +1,9 @@
 """Parent-child rows to full hierarchies.
 
-Level-wise frontier joins: the roots are level 0, each level joins the edges whose
-parent it holds, and every level is written to the shared folder, so the plan of a
-level is one join whatever its depth. Nodes that no level reaches hang on a cycle.
+Level-wise frontier joins: the roots are level 0, and each join extends the frontier by the
+nodes that reach it in up to eight steps, with their paths. Its result is written to the
+shared folder, so every plan is one join whatever the depth. Nodes that no level reaches
+hang on a cycle.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from pyspark.sql import types as T
 
 from claimgraph.session import Workspace
 
-#: Rows up to which a frontier is broadcast; its size is counted before.
-BROADCAST_ROWS = 50_000
-#: After so many levels the edges that are used up are taken out of the edge table.
-COMPACT_EVERY = 12
+#: A join advances by two to this power levels.
+STRIDE_DOUBLINGS = 3
+#: Bytes up to which a frontier is broadcast, its rows being counted before, and those of an id in it.
+BROADCAST_BYTES, ID_BYTES = 8_000_000, 48
+#: After so many joins the steps that are used up are taken out of the table.
+COMPACT_EVERY = 4
 
 TREE = T.StructType(
     [
@@ -57,7 +60,19 @@ def hierarchy(rows: DataFrame, node: Column, parent: Column) -> DataFrame:
     )
     linked = ws.table(linked, "linked")
 
-    edges = linked.where(F.col("parent").isNotNull())
+    # Each node's next ancestors, nearest first, so that one join advances the frontier by STRIDE levels.
+    climbs = linked.where(F.col("parent").isNotNull()).select("node", F.array("parent").alias("up"))
+    for k in range(STRIDE_DOUBLINGS):
+        onward = climbs.select(F.col("node").alias("last"), F.col("up").alias("more"))
+        climbs = climbs.withColumn("last", F.element_at("up", -1)).join(onward, "last", "left")
+        climbs = climbs.select("node", F.concat("up", F.coalesce("more", F.array().cast("array<string>"))).alias("up"))
+        climbs = ws.table(climbs, f"climbs-{k}")
+    stride = 1 << STRIDE_DOUBLINGS
+    # One row for each of these ancestors: from there the way to the node is known.
+    steps = climbs.select("node", F.col("up")[0].alias("parent"), "up", F.posexplode("up").alias("at", "from"))
+    below = F.reverse(F.slice("up", F.lit(1), F.col("at")))
+    steps = ws.table(steps.select("node", "parent", "from", F.concat(below, F.array("node")).alias("way")), "steps")
+
     frontier = linked.where(F.col("parent").isNull()).select(
         "node",
         "parent",
@@ -66,30 +81,36 @@ def hierarchy(rows: DataFrame, node: Column, parent: Column) -> DataFrame:
         F.array("node").alias("path"),
         F.lit(False).alias("on_cycle"),
     )
-    level, done = 0, []
+    round_, done = 0, []
     while True:
-        seen = Observation()
-        path = f"{ws.path}/level-{level}"
-        frontier.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        n = seen.get["n"]
-        if n == 0:
+        ahead, found = Observation(), Observation()
+        last = F.col("depth") == round_ * stride
+        path = f"{ws.path}/round-{round_}"
+        told = frontier.observe(ahead, F.count(F.when(last, 1)).alias("n")).observe(found, F.count(F.lit(1)).alias("n"))
+        told.write.parquet(path)
+        if found.get["n"] == 0:
             break
         done.append(path)
-        reached = spark.read.schema(TREE).parquet(path)
-        level += 1
-        if level % COMPACT_EVERY == 0:
+        n = ahead.get["n"]
+        if n == 0:
+            break
+        up = spark.read.schema(TREE).parquet(path).where(last).select(F.col("node").alias("from"), "root", "depth", "path")
+        # A row of the frontier holds its path: what is broadcast is bounded in bytes.
+        small = n * (round_ * stride + 2) * ID_BYTES <= BROADCAST_BYTES
+        round_ += 1
+        if round_ % COMPACT_EVERY == 0:
             used = spark.read.schema(TREE).parquet(*done[-COMPACT_EVERY:]).select("node")
-            edges = ws.table(edges.join(used, "node", "left_anti"), f"edges-{level}")
-        up = reached.select(F.col("node").alias("parent"), "root", "depth", "path")
-        frontier = edges.join(F.broadcast(up) if n <= BROADCAST_ROWS else up, "parent").select(
+            steps = ws.table(steps.join(used, "node", "left_anti"), f"steps-{round_}")
+        frontier = steps.join(F.broadcast(up) if small else up, "from").select(
             "node",
             "parent",
             "root",
-            (F.col("depth") + 1).cast("int").alias("depth"),
-            F.concat("path", F.array("node")).alias("path"),
+            (F.col("depth") + F.size("way")).cast("int").alias("depth"),
+            F.concat("path", "way").alias("path"),
             F.lit(False).alias("on_cycle"),
         )
     trees = spark.read.schema(TREE).parquet(*done) if done else spark.createDataFrame([], TREE)
+    edges = linked.where(F.col("parent").isNotNull())
     rest = ws.table(edges.join(trees.select("node"), "node", "left_anti"), "rest")
     left = rest.count()
     if not left:

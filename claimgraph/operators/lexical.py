@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgraph.functions.text import folded_stopwords, tokens
+from claimgraph.functions.text import fold, folded_stopwords, raw_tokens, tokens
 from claimgraph.session import Workspace
 
 #: The ranking's constants.
@@ -20,8 +20,8 @@ PRUNE_ABOVE, PRUNE_FROM = 0.5, 10
 NEAR_BYTES = 5
 #: Scores are added in whole parts of this size.
 FINE = 1e12
-#: Scores that are equal to so many places tie.
-TIE = 9
+#: Scores that are equal to a part of this size tie.
+TIE = 1e9
 #: Asked terms up to which they are broadcast; they are counted before.
 BROADCAST_TERMS = 200_000
 
@@ -30,20 +30,33 @@ class TextIndex:
     """Passages and term statistics of documents (record_id, seq, text, refs).
 
     A document is one passage, or with ``passage_tokens`` as many as it has windows of so many
-    tokens. Null texts and those without tokens are not indexed.
+    tokens. Null texts and those without tokens are not indexed. ``write`` keeps the postings
+    and lengths as tables, so that texts are taken apart once for any number of searches.
     """
 
     def __init__(self, documents: DataFrame, passage_tokens: int | None = None):
-        toks = documents.select("record_id", "seq", "refs", tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
-        if passage_tokens is None:
-            self.passages = toks.withColumn("passage", F.lit(0))
-        else:
-            n = passage_tokens
-            starts = F.sequence(F.lit(0), F.floor((F.size("toks") - 1) / n).cast("int"))
-            self.passages = toks.withColumn("passage", F.explode(starts)).withColumn(
-                "toks", F.slice("toks", F.col("passage") * n + 1, F.lit(n))
-            )
-        self.lengths = self.passages.select("record_id", "passage", F.size("toks").alias("length"))
+        self.documents, self.window = documents.select("record_id", "seq", "refs"), passage_tokens or 1 << 30
+        raw = documents.select("record_id", "seq", raw_tokens(F.col("text")).alias("raw"))
+        self.raw = raw.withColumn("size", F.size("raw")).where(F.col("size") > 0)
+        passages = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / self.window).cast("int")))
+        self.lengths = self.raw.select("record_id", "size", passages.alias("passage")).select(
+            "record_id", "passage", self._length().alias("length")
+        )
+        # Words are folded after they are exploded: outside arrays that is compiled code.
+        words = self.raw.select("record_id", "seq", "size", F.posexplode("raw").alias("at", "word")).select(
+            "record_id", "seq", "size", F.floor(F.col("at") / self.window).cast("int").alias("passage"), fold(F.lower("word")).alias("term")
+        )
+        # Documents that lie partitioned by record_id stay so: nothing is shuffled here.
+        counted = words.groupBy("record_id", "seq", "size", "passage", "term").agg(F.count("*").alias("tf"))
+        self.all_postings = counted.select("term", "record_id", "seq", "passage", self._length().alias("length"), "tf")
+
+    def _length(self) -> Column:
+        return F.least(F.lit(self.window), F.col("size") - F.col("passage") * self.window).cast("int")
+
+    def write(self) -> TextIndex:
+        ws = Workspace(self.raw.sparkSession, "index")
+        self.all_postings, self.lengths = ws.table(self.all_postings, "postings"), ws.table(self.lengths, "lengths")
+        return self
 
     def stats(self) -> DataFrame:
         """One row: ``n`` passages and their average length ``avgdl``."""
@@ -51,20 +64,13 @@ class TextIndex:
 
     def frequencies(self) -> DataFrame:
         """``term, df``: the number of passages with each term."""
-        return self.passages.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(
-            F.count("*").alias("df")
-        )
-
-    def postings(self, terms: DataFrame | None = None, refs: bool = False) -> DataFrame:
-        """``term, record_id, seq, passage, length, tf``, of the given terms only (they must be few).
+        return self.all_postings.groupBy("term").agg(F.count("*").alias("df"))
 
-        Documents that lie partitioned by record_id stay so: nothing is shuffled then.
-        """
-        held = ["record_id", "seq", "passage", "length", *(["refs"] if refs else [])]
-        rows = self.passages.withColumn("length", F.size("toks")).select(*held, F.explode("toks").alias("term"))
-        if terms is not None:
-            rows = rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-        return rows.groupBy("term", *held).agg(F.count("*").alias("tf"))
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """``term, record_id, seq, passage, length, tf``, of the given terms only (they must be few)."""
+        if terms is None:
+            return self.all_postings
+        return self.all_postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
 
 
 @dataclass
@@ -101,6 +107,10 @@ def near_terms(missing: DataFrame, frequencies: DataFrame) -> DataFrame:
     return near.groupBy("asked").agg(F.min("read").alias("read"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
+def tie(c: str) -> Column:
+    return F.floor(F.col(c) * TIE + 0.5)
+
+
 def _idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
@@ -141,8 +151,9 @@ def search(
 
     hits = terms.where(F.col("read").isNotNull())
     wanted = hits.select(F.col("read").alias("term")) if few else None
-    found = index.postings(wanted, refs=scope is not None).withColumnRenamed("term", "read").join(small(hits), "read")
+    found = index.postings(wanted).withColumnRenamed("term", "read").join(small(hits), "read")
     if scope is not None:
+        found = found.join(index.documents.select("record_id", "refs"), "record_id")
         scoped = scope.groupBy("query_id").agg(F.collect_set("entity_id").alias("wanted"))
         found = found.join(F.broadcast(scoped), "query_id", "left").where(
             F.col("wanted").isNull() | F.coalesce(F.arrays_overlap("refs", "wanted"), F.lit(False))
@@ -150,7 +161,7 @@ def search(
     tf, norm = F.col("tf"), 1.0 - B + B * F.col("length") / F.col("avgdl")
     part = F.col("idf") * (tf * (K1 + 1.0)) / (tf + K1 * norm)
     # Sums of floats depend on their order; whole numbers of billionths of a thousandth do not.
-    whole = lambda c: F.sum(F.round(c * FINE).cast("long")) / FINE
+    whole = lambda c: F.sum((c * FINE + 0.5).cast("long")) / FINE
     passages = found.groupBy("query_id", "record_id", "seq", "passage").agg(
         whole(part).alias("score"), whole(F.col("idf")).alias("matched")
     )
@@ -179,7 +190,7 @@ def search(
         .withColumn("admitted", F.coalesce("admitted", F.lit(False)))
         .join(small(per_query.select("query_id", "total_idf")), "query_id")
     )
-    w = Window.partitionBy("query_id", "admitted").orderBy(F.round("score", TIE).desc(), "seq")
+    w = Window.partitionBy("query_id", "admitted").orderBy(tie("score").desc(), "seq")
     ranked = ranked.select(
         "query_id", "record_id", "seq", "score", (F.col("matched") / F.col("total_idf")).alias("coverage"), "admitted",
         F.row_number().over(w).alias("rank"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.text import fold_py, folded_stopwords, tokens
-from claimgraph.operators.lexical import TIE, Candidates
+from claimgraph.operators.lexical import Candidates, tie
 from claimgraph.session import Workspace
 
 
@@ -69,13 +69,13 @@ def fuse(lexical: DataFrame, vector: DataFrame, rrf_k: float | None = 0.0, weigh
         "query_id", "record_id", score.alias("score"), nought(F.col("relevance")).alias("relevance"),
         nought(F.col("similarity")).alias("similarity"), via.alias("via"), F.coalesce("lr", "vr").alias("first_rank"),
     )
-    w = Window.partitionBy("query_id").orderBy(F.round("score", TIE).desc(), "first_rank", "record_id")
+    w = Window.partitionBy("query_id").orderBy(tie("score").desc(), "first_rank", "record_id")
     return fused.withColumn("fused_rank", F.row_number().over(w)).drop("first_rank")
 
 
 def rank_similar(similar: DataFrame, records: DataFrame) -> DataFrame:
     """``similar`` (query_id, record_id, similarity) with ranks; ties in log order."""
-    w = Window.partitionBy("query_id").orderBy(F.round("similarity", TIE).desc(), "seq")
+    w = Window.partitionBy("query_id").orderBy(tie("similarity").desc(), "seq")
     return similar.join(records.select("record_id", "seq"), "record_id").withColumn("rank", F.row_number().over(w))
 
 
@@ -208,6 +208,8 @@ def list_items(candidates: Candidates, similar: DataFrame, records: DataFrame, o
             (F.col("best") <= 0) | (F.col("via") != "vector") | (F.col("coverage") > 0)
         ).drop("best")
     if o.titles != "keep":
+        # Folding reads the items several times.
+        items = Workspace(records.sparkSession, "items").table(items, "unfolded")
         items = fold_titles(items, o.titles == "prefer_body")
     w = Window.partitionBy("query_id").orderBy("fused_rank")
     return items.withColumn("position", F.row_number().over(w)).drop("fused_rank", "kind", "title", "refs")
@@ -223,7 +225,7 @@ def gap_offers(candidates: Candidates, similar: DataFrame, records: DataFrame, o
     gaps = met.join(records.where(F.col("kind") == "gap").select("record_id"), "record_id", "left_semi")
     # A question without words has nothing that could be covered.
     gaps = gaps.join(candidates.queries.where(F.col("total_idf") > 0).select("query_id"), "query_id", "left_semi")
-    w = Window.partitionBy("query_id").orderBy(F.round("coverage", TIE).desc(), F.round("similarity", TIE).desc(), "record_id")
+    w = Window.partitionBy("query_id").orderBy(tie("coverage").desc(), tie("similarity").desc(), "record_id")
     return gaps.withColumn("n", F.row_number().over(w)).where(F.col("n") <= o.gap_budget)
 
 

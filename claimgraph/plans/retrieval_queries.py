@@ -24,7 +24,7 @@ DIMS = 256
 def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, lexical.TextIndex, DataFrame]:
     records = L.records(s, d)
     view = views.admitted(records, L.effects(s, d), VIEW)
-    return records, view, lexical.TextIndex(records), questions(s, d)
+    return records, view, lexical.TextIndex(records).write(), questions(s, d)
 
 
 def questions(s: SparkSession, d: str) -> DataFrame:

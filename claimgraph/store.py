@@ -526,7 +526,7 @@ class KnowledgeStore:
             view = views.admitted(led.records, led.effects, self._view(proposed, everything)).cache()
             scoped = self._resolve(scope)
             of = spark.createDataFrame([(1, s) for s in scoped], "query_id long, entity_id string") if scoped else None
-            found = lexical.search(lexical.TextIndex(led.records), asked, view, of)
+            found = lexical.search(lexical.TextIndex(led.records).write(), asked, view, of)
             similar = spark.createDataFrame([], "query_id long, record_id string, similarity double")
             if vectors_too:
                 docs = views.in_scope(view, scoped).where(F.col("text").isNotNull())
