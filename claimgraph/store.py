@@ -70,6 +70,8 @@ class Draft:
     due_at: datetime | None = None
     on_event: str | None = None
     supersedes: str | None = None
+    #: Given where another draft of the same batch names this one.
+    id: str | None = None
 
     @property
     def kind(self) -> str:
@@ -309,7 +311,7 @@ class Ledger:
                 held[r["id"]] = [r["kind"], r["state"]]
         events, ids = [], []
         for d in drafts:
-            i = new_id()
+            i = bare(d.id) if d.id else new_id()
             self._check(d, at, entity_kind, held)
             if d.kind != "verdict":
                 opening = {"claim": "proposed", "gap": "registered", "hypothesis": "registered"}.get(d.kind)
