@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimgraph.session import Workspace
+
 #: A list holds the words that occur in at least this share of the English documents.
 LISTS = (0.3, 0.2, 0.1, 0.08, 0.06, 0.04, 0.02)
 #: Labelled documents that the classifier is fitted on, at most; chosen by hash of the id.
@@ -37,39 +39,44 @@ SENTENCE = re.compile(r"[.!?…。]+[\"'”’»)\]*_`]*(?=\s|$)|\n\s*\n|\n(?=\s
 LEVEL = "key long, words int, sentence_words double, unfamiliar array<double>, band int"
 
 
-def lower_words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}]+")
+LISTED = {language: frozenset(words.split()) for language, words in FUNCTION_WORDS.items()}
 
 
-def is_english(text: Column) -> Column:
-    """By the words of the text: not fewer different English function words than German or Spanish ones."""
-    words = lower_words(text)
+def is_english(words: set[str]) -> bool:
+    """Not fewer different English function words than German or Spanish ones."""
+    share = {language: len(words & listed) for language, listed in LISTED.items()}
+    return share["en"] >= max(share["de"], share["es"])
 
-    def share(language: str) -> Column:
-        return F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in FUNCTION_WORDS[language].split()])))
 
-    return (share("en") >= share("de")) & (share("en") >= share("es"))
+def familiar_words(texts: DataFrame, lists: tuple[float, ...] = LISTS) -> dict[str, int]:
+    """Each listed word and how many of the lists hold it, by its share of the English ``text``s."""
 
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held = [set(WORD.findall(t.lower())) for t in b["text"]]
+            # The empty word stands for the text itself: it counts the English ones.
+            yield pd.DataFrame({"words": [["", *w] for w in held if is_english(w)]})
 
-def familiar_words(english: DataFrame, lists: tuple[float, ...] = LISTS) -> dict[str, int]:
-    """Each listed word and how many of the lists hold it; ``english``: text."""
-    n = english.count()
     df = (
-        english.select(F.explode(F.array_distinct(lower_words(F.col("text")))).alias("word"))
-        .where(F.col("word") != "")
+        texts.select("text")
+        .mapInPandas(distinct, "words array<string>")
+        .select(F.explode("words").alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("df"))
-        .where(F.col("df") >= min(lists) * n)
     )
-    listed = df.limit(MAX_WORDS + 1).collect()
+    df = Workspace(texts.sparkSession, "reading").table(df, "frequencies")
+    n = df.where("word = ''").agg(F.max("df")).first()[0] or 0
+    listed = df.where((F.col("word") != "") & (F.col("df") >= min(lists) * n)).limit(MAX_WORDS + 1).collect()
     if len(listed) > MAX_WORDS:
         raise ValueError(f"more than {MAX_WORDS} familiar words")
     return {r["word"]: sum(r["df"] >= t * n for t in lists) for r in listed}
 
 
-def measure(text: str, familiar: dict[str, int], lists: int) -> tuple[int, float, list[float]]:
-    """Words, words in a sentence, and for each list the share of words outside it."""
+def measure(text: str, familiar: dict[str, int], lists: int) -> tuple[int, float, list[float]] | None:
+    """Words, words in a sentence, and for each list the share of words outside it; None if not English."""
     found = WORD.findall(text.lower())
+    if not is_english(set(found)):
+        return None
     if not found:
         return 0, 0.0, [0.0] * lists
     sentences = max(1, sum(1 for s in SENTENCE.split(text) if WORD.search(s)))
@@ -114,9 +121,15 @@ class Bands:
         return 1 + sum((z @ w > 0).astype(int) for w in self.weights)
 
 
-def _features(texts: pd.Series, familiar: dict[str, int], lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = [measure(t, familiar, lists) for t in texts]
+def _features(
+    batch: pd.DataFrame, familiar: dict[str, int], lists: int
+) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of English texts, and their measures."""
+    measured = [measure(t, familiar, lists) for t in batch["text"]]
+    held = [i for i, m in enumerate(measured) if m is not None]
+    rows = [measured[i] for i in held]
     return (
+        batch.iloc[held],
         np.array([r[0] for r in rows], int),
         np.array([r[1] for r in rows], float),
         np.array([r[2] for r in rows], float).reshape(-1, lists),
@@ -134,12 +147,8 @@ def reading_levels(
     any labelled document the band is null. Keys are long; rows with equal keys are
     measured each; a null key stays null. Other columns are ignored.
     """
-    english = (
-        documents.select(key.cast("long").alias("key"), text.alias("text"))
-        .where(F.col("text").isNotNull())
-        .where(is_english(F.col("text")))
-    )
-    familiar = familiar_words(english, lists)
+    texts = documents.select(key.cast("long").alias("key"), text.alias("text")).where(F.col("text").isNotNull())
+    familiar = familiar_words(texts, lists)
     n = len(lists)
     sample = (
         labels.select("key", "band")
@@ -153,11 +162,11 @@ def reading_levels(
 
     def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words, length, share = _features(b["text"], familiar, n)
+            b, words, length, share = _features(b, familiar, n)
             yield pd.DataFrame({"label": b["label"], "words": words, "length": length, "share": list(share)})
 
     rows = (
-        english.join(F.broadcast(sample), "key")
+        texts.join(F.broadcast(sample), "key")
         .mapInPandas(labelled, "label int, words int, length double, share array<double>")
         .where(F.col("words") > 0)
         .toPandas()
@@ -170,9 +179,9 @@ def reading_levels(
 
     def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b, words, length, share = _features(b, familiar, n)
             if not len(b):
                 continue
-            words, length, share = _features(b["text"], familiar, n)
             band = np.where(words > 0, model.predict(expand(length, share)), 1) if model else None
             yield pd.DataFrame(
                 {
@@ -184,4 +193,4 @@ def reading_levels(
                 }
             )
 
-    return english.mapInPandas(levels, LEVEL)
+    return texts.mapInPandas(levels, LEVEL)
