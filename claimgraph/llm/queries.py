@@ -38,9 +38,12 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = latest_texts(table(spark, sf_dir, "ledger_records"))
+    """Deliveries of one record have one text; the operator takes each item once."""
+    records = table(spark, sf_dir, "ledger_records")
     questions = table(spark, sf_dir, "register_unknowns")
-    return records.select(F.lit("record").alias("place"), F.col("record_id").alias("item_key"), "text").unionByName(
+    return records.select(
+        F.lit("record").alias("place"), norm_id(F.col("record_id")).alias("item_key"), "text"
+    ).unionByName(
         questions.select(
             F.lit("question").alias("place"), F.col("origin_key").alias("item_key"), F.col("question").alias("text")
         )
