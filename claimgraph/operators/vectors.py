@@ -7,7 +7,6 @@ are never compared: the model id is part of every key.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of questions that are compared at once; more raise ValueError, they go to every task.
 MAX_QUERIES = 50_000
+#: Questions on which the number of candidates is measured.
+SAMPLE = 64
 #: The hash that picks a feature's slot, and the seed of the one that picks its sign.
 BASIS, PRIME, SIGN_SEED = 0xCBF29CE484222325, 0x100000001B3, 0x9E3779B9
 
@@ -126,22 +127,28 @@ def exact_similar(
 class SignBuckets:
     """Sign projections in several tables; centred planes from a seed.
 
-    A question looks into its own bucket, then those that differ in one bit, then in two, and
-    stops after the ring with which ``want`` documents are found.
+    A question looks into its own bucket, then those that differ in one bit, then in two, and so
+    on to all bits, and stops after the ring with which ``want`` documents are found. With fewer
+    documents than that it meets them all. Vectors that are null, zero, not finite or of another
+    length have no bucket.
     """
 
     def __init__(self, dims: int, tables: int = 8, bits: int = 12, seed: int = 1):
         self.dims, self.tables, self.bits = dims, tables, bits
         self.planes = np.random.default_rng(seed).uniform(-1, 1, (tables * bits, dims))
 
+    def _signs(self, x: np.ndarray) -> np.ndarray:
+        """A signature for each row and table."""
+        signs = (x @ self.planes.T >= 0).reshape(len(x), self.tables, self.bits)
+        return (signs * (1 << np.arange(self.bits))).sum(axis=2).astype("int32")
+
     def signatures(self, vector: Column) -> Column:
-        planes, dims, shape = self.planes, self.dims, (self.tables, self.bits)
-        powers = 1 << np.arange(self.bits)
+        dims, signs = self.dims, self._signs
 
         @F.pandas_udf("array<int>")
         def sign(vectors: pd.Series) -> pd.Series:
-            signs = (_matrix(vectors, dims) @ planes.T >= 0).reshape(len(vectors), *shape)
-            return pd.Series(list((signs * powers).sum(axis=2).astype("int32")))
+            x = _matrix(vectors, dims)
+            return pd.Series([s if usable else None for s, usable in zip(signs(x), x.any(axis=1), strict=True)], dtype=object)
 
         return sign(vector)
 
@@ -149,26 +156,83 @@ class SignBuckets:
         signed = documents.select("key", self.signatures(F.col("vector")).alias("s"))
         return signed.select("key", F.posexplode("s").alias("table", "bucket"))
 
-    def candidates(self, documents: DataFrame, queries: DataFrame, want: int, radius: int = 2) -> DataFrame:
-        """``query_id, key, ring``."""
-        masks = [(r, sum(1 << i for i in c)) for r in range(radius + 1) for c in combinations(range(self.bits), r)]
-        rings = F.array(*[F.struct(F.lit(r).alias("ring"), F.lit(m).alias("mask")) for r, m in masks])
+    def candidates(self, documents: DataFrame, queries: DataFrame, want: int) -> DataFrame:
+        """``query_id, key, ring``.
+
+        A table has each key in one bucket, so the keys of its rings are counted before any is
+        read: the ring at which one table alone has enough is the widest that is looked into.
+        There are at most 2 ** bits buckets a table, however many documents.
+        """
+        members = self.buckets(documents)
+        one = members.groupBy("table", "key").agg(F.min("bucket").alias("bucket"))
+        filled = members.select("table", "bucket").distinct().join(
+            one.groupBy("table", "bucket").agg(F.count("*").alias("n")), ["table", "bucket"], "left"
+        )
         probes = (
             queries.select("query_id", self.signatures(F.col("vector")).alias("s"))
             .select("query_id", F.posexplode("s").alias("table", "own"))
-            .select("query_id", "table", "own", F.explode(rings).alias("r"))
-            .select("query_id", "table", F.col("own").bitwiseXOR(F.col("r.mask")).alias("bucket"), "r.ring")
+            .join(filled, "table")
+            .select("query_id", "table", "bucket", "n", F.bit_count(F.col("own").bitwiseXOR(F.col("bucket"))).alias("ring"))
         )
-        met = self.buckets(documents).join(probes, ["table", "bucket"])
+        upto = Window.partitionBy("query_id", "table").orderBy("ring").rowsBetween(Window.unboundedPreceding, 0)
+        held = probes.groupBy("query_id", "table", "ring").agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(upto))
+        reach = held.groupBy("query_id").agg(F.min(F.when(F.col("n") >= want, F.col("ring"))).alias("reach"))
+        probes = probes.join(reach, "query_id").where(F.col("ring") <= F.coalesce("reach", F.lit(self.bits)))
+        met = members.join(probes.select("query_id", "table", "bucket", "ring"), ["table", "bucket"])
         first = met.groupBy("query_id", "key").agg(F.min("ring").alias("ring"))
         sizes = first.groupBy("query_id", "ring").agg(F.count("*").alias("n"))
         inner = Window.partitionBy("query_id").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)
         open_ = sizes.withColumn("had", F.coalesce(F.sum("n").over(inner), F.lit(0))).where(F.col("had") < want)
         return first.join(open_.select("query_id", "ring"), ["query_id", "ring"]).select("query_id", "key", "ring")
 
-    def similar(self, documents: DataFrame, queries: DataFrame, k: int, want: int | None = None) -> DataFrame:
-        """``query_id, key, similarity``: the k best of the candidates, by exact cosine."""
-        near = self.candidates(documents, queries, want or 4 * k)
+    def want_for(self, documents: DataFrame, queries: DataFrame, k: int, recall: float) -> int:
+        """The least ``want`` with which a sample of the questions meets that part of its k nearest.
+
+        The sample is compared with every document; the nearest and the sizes of the rings go to the driver.
+        """
+        asked = queries.select("query_id", "vector").orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).toPandas()
+        q = _matrix(asked["vector"], self.dims)
+        q = q[q.any(axis=1)]
+        own, signs, dims, bits = self._signs(q), self._signs, self.dims, self.bits
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = _matrix(b["vector"], dims)
+                x = x[x.any(axis=1)]
+                if not len(x):
+                    continue
+                mine = signs(x)
+                for i in range(len(q)):
+                    ring = np.bitwise_count(mine ^ own[i]).min(axis=1).astype("int64")
+                    cosine = x @ q[i]
+                    best = np.argsort(-cosine, kind="stable")[:k]
+                    yield pd.DataFrame({"i": i, "ring": ring[best], "similarity": cosine[best], "n": None}).astype({"n": "float"})
+                    yield pd.DataFrame({"i": i, "ring": range(bits + 1), "similarity": None, "n": np.bincount(ring, minlength=bits + 1)}).astype(
+                        {"similarity": "float", "n": "float"}
+                    )
+
+        rows = documents.select("vector").mapInPandas(compare, "i long, ring long, similarity double, n double")
+        # A column of pandas without a number is NaN here.
+        nearest = rows.where(~F.isnan("similarity") & F.col("similarity").isNotNull())
+        w = Window.partitionBy("i").orderBy(F.desc("similarity"), "ring")
+        nearest = nearest.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k).select("i", "ring")
+        sizes = rows.where(~F.isnan("n") & F.col("n").isNotNull()).groupBy("i", "ring").agg(F.sum("n").alias("n"))
+        inner = Window.partitionBy("i").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)
+        had = sizes.withColumn("had", F.coalesce(F.sum("n").over(inner), F.lit(0.0))).drop("n")
+        needs = sorted(int(r["had"]) + 1 for r in nearest.join(had, ["i", "ring"]).collect())
+        return needs[max(0, int(np.ceil(recall * len(needs))) - 1)] if needs else 1
+
+    def similar(
+        self, documents: DataFrame, queries: DataFrame, k: int, want: int | None = None, recall: float | None = None
+    ) -> DataFrame:
+        """``query_id, key, similarity``: the k best of the candidates, by exact cosine.
+
+        With ``recall``, ``want`` is raised to what meets that part of a sample's nearest.
+        """
+        want = want or 4 * k
+        if recall is not None:
+            want = max(want, self.want_for(documents, queries, k, recall))
+        near = self.candidates(documents, queries, want)
         both = near.join(documents.select("key", F.col("vector").alias("x")), "key").join(
             F.broadcast(queries.select("query_id", F.col("vector").alias("y"))), "query_id"
         )

@@ -18,6 +18,8 @@ from claimgraph.plans.tables import table
 from claimgraph.session import Workspace
 
 DIMS = 256
+#: Part of a sample's nearest that lsh_top5 is to meet.
+LSH_RECALL = 0.95
 
 
 @lru_cache(maxsize=8)
@@ -137,7 +139,14 @@ def knn_exact(s: SparkSession, d: str) -> DataFrame:
 def lsh_top5(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     asked = rows.where("key % 20 = 0").withColumnRenamed("key", "query_id")
-    return vectors.SignBuckets(64).similar(rows, asked, 6, 200).where("query_id <> key")
+    return vectors.SignBuckets(64).similar(rows, asked, 6, 200, LSH_RECALL).where("query_id <> key")
+
+
+def lsh_recall(s: SparkSession, d: str) -> DataFrame:
+    """``found, of, recall``: how many of the rows of knn_exact are in lsh_top5."""
+    pairs = lsh_top5(s, d).select("query_id", "key", F.lit(1).alias("hit"))
+    both = knn_exact(s, d).join(pairs, ["query_id", "key"], "left")
+    return both.agg(F.count("hit").alias("found"), F.count("*").alias("of")).withColumn("recall", F.round(F.col("found") / F.col("of"), 4))
 
 
 def _fused(s: SparkSession, d: str, rrf_k: float | None) -> DataFrame:
@@ -194,6 +203,7 @@ QUERIES = {
     "hash_cosine_top10": hash_cosine_top10,
     "knn_exact": knn_exact,
     "lsh_top5": lsh_top5,
+    "lsh_recall": lsh_recall,
     "rrf_k0": lambda s, d: _fused(s, d, 0.0),
     "rrf_k60": lambda s, d: _fused(s, d, 60.0),
     "weighted_fusion": lambda s, d: _fused(s, d, None),

@@ -174,3 +174,24 @@ def test_exact_and_bucketed_neighbours(spark):
     near = vectors.SignBuckets(16, 8, 6).similar(d.where("key < 900"), q, 4, 200).collect()
     hits = sum((r["query_id"], r["key"]) in {(g["query_id"], g["key"]) for g in got} for r in near)
     assert hits >= 15
+
+
+def test_bucketed_neighbours_widen_to_all_bits(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((400, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0]), (902, [0.0] * 16), (903, [float("nan")] * 16)]
+    d = spark.createDataFrame(rows, "key long, vector array<double>")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(20)] + [(99, None)], "query_id long, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = {(i, int(j)) for i in range(20) for j in np.argsort(-(u @ u[i]))[:5]}
+    pairs = lambda df: {(g["query_id"], g["key"]) for g in df.collect()}
+    index = vectors.SignBuckets(16)
+    # who wants more than there are meets all that can be compared, and so the exact answer
+    assert index.candidates(d, q, 1000).count() == 20 * 400
+    assert pairs(index.similar(d, q, 5, 1000)) == best
+    # each question meets as many as it wants, and what it wants can be measured
+    assert all(g["count"] >= 150 for g in index.candidates(d, q, 150).groupBy("query_id").count().collect())
+    got = pairs(index.similar(d, q, 5, 10, recall=0.9))
+    assert len(got & best) >= 90
+    assert index.want_for(d, q, 5, 0.5) < index.want_for(d, q, 5, 1.0) <= 400
+    assert index.similar(d.where("key < 0"), q, 5, recall=0.9).count() == 0
