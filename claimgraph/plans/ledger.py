@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.ids import norm_id, norm_label
@@ -39,23 +39,46 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def effects(spark: SparkSession, d: str) -> DataFrame:
-    """The numbered updates of the feed, each number once."""
+    """The updates of the feed: each number once, and each change that no delivery numbers.
+
+    A delivery without number is the numbered change of equal record, verdict and time, if there is
+    one. Else it stands by its time among the record's numbered changes: ``seq`` is the number of the
+    last that was made up to then (null if none was), ``ordinal`` counts behind it; numbered have 0.
+    """
     rows = table(spark, d, "verdict_feed").select(
         F.col("log_seq").alias("seq"), norm_id(F.col("record_id")).alias("target_id"), norm_label(F.col("op")).alias("op"),
         norm_id(F.col("verdict_id")).alias("verdict_id"), F.col("verdict_at").alias("recorded_at"), "action",
         norm_label(F.col("state")).alias("state"), norm_label(F.col("author_kind")).alias("author_kind"),
     )
-    rows = rows.where((F.col("op") == "update") & F.col("seq").isNotNull() & F.col("target_id").isNotNull())
+    rows = rows.where((F.col("op") == "update") & F.col("target_id").isNotNull())
     rows = rows.withColumn("state", F.coalesce("state", action_state(F.col("action"), F.col("target_id"))))
     reason = F.regexp_extract("action", r"\((\w+)\)\s*$", 1)
     basis = F.regexp_extract("action", r"(?i)on the basis of (\w+)", 1)
     none = lambda c: F.when(c != "", c)
-    return rows.groupBy("seq").agg(
-        F.lit(0).alias("ordinal"), F.max("verdict_id").alias("verdict_id"), F.max("recorded_at").alias("recorded_at"),
+    same = ["target_id", "verdict_id", "recorded_at"]
+    # Deliveries of a number are one change whatever else they say; those without are told apart by ``same``.
+    loose = [F.when(F.col("seq").isNull(), F.col(c)).alias(f"loose_{c}") for c in same]
+    changes = rows.groupBy("seq", *loose).agg(
+        F.max("verdict_id").alias("verdict_id"), F.max("recorded_at").alias("recorded_at"),
         F.max("target_id").alias("target_id"), F.max(F.lower(F.regexp_extract("action", r"^\s*(\w+)", 1))).alias("action"),
         F.max("state").alias("new_state"), F.max(none(reason)).alias("reason"), F.max(none(basis)).alias("basis"),
         F.max("author_kind").alias("author_kind"),
     )
+    # One shuffle: what follows groups and orders within a record.
+    copies = Window.partitionBy(*same)
+    changes = changes.repartition("target_id").withColumns(
+        {"copy": F.max("seq").over(copies), "new_state": F.coalesce("new_state", F.max("new_state").over(copies))}
+    )
+    changes = changes.where(F.col("seq").isNotNull() | F.col("copy").isNull())
+    loose_ = F.col("seq").isNull()
+    upto = Window.partitionBy("target_id").orderBy("recorded_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = changes.withColumn("place", F.coalesce("seq", F.max("seq").over(upto)))
+    behind = Window.partitionBy("target_id", "place", loose_).orderBy("recorded_at", "verdict_id")
+    ordinal = F.when(loose_, F.row_number().over(behind)).otherwise(F.lit(0))
+    return placed.select(
+        F.col("place").alias("seq"), ordinal.alias("ordinal"), "verdict_id", "recorded_at", "target_id", "action",
+        "new_state", "reason", "basis", "author_kind",
+    )
 
 
 def measurements(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimgraph import schema
 from claimgraph.operators import graph, state, validate, views
@@ -174,3 +175,38 @@ def test_empty_tables(tables, spark):
                views.admitted(r, e, views.ViewSpec.at(t(1))), validate.time_goes_back(r)):
         assert df.count() == 0
     assert views.is_stale(3, r) is False
+
+
+def test_unnumbered_updates_have_a_place(spark, tables, tmp_path):
+    from claimgraph.operators.changefeed import apply_changes, changes_of
+    from claimgraph.plans import ledger
+
+    ids = {c: f"rec_{c * 26}" for c in "ABCDEF"}
+    row = lambda c, seq, at, v, action, state=None, op="update": (
+        seq, op, ids[c].lower() if at is not None and at % 2 else ids[c], v and f"rec_{v:0>26}", f"{action} {ids[c]}", state, None if at is None else t(at), "human",
+    )
+    feed = [
+        row("A", None, 5, "V1", "promote"), row("A", None, 5, "V1", "promote", "promoted"),  # never numbered, twice
+        row("B", 2, 1, "V2", "promote"), row("B", None, 9, "V3", "retire"),  # after the numbered
+        row("C", 3, 9, "V4", "retire"), row("C", None, 1, "V5", "promote"),  # before
+        row("D", 4, 4, "V6", "promote"), row("D", None, 4, "V6", "promote"), row("D", 6, 8, "V7", "retire"),  # copy of a numbered
+        row("E", 7, 3, "V8", "promote"), row("E", None, 3, "V9", "retire"), row("E", 8, 6, "VA", "reject"),  # between, at one instant
+        row("F", None, 2, "VB", "promote"), row("F", None, 7, "VC", "retire"), row("F", None, None, "VD", "reject"),  # none is numbered
+    ]
+    kinds = "log_seq long, op string, record_id string, verdict_id string, action string, state string, verdict_at timestamp, author_kind string"
+    spark.createDataFrame(feed, kinds).write.parquet(f"{tmp_path}/verdict_feed.parquet")
+    e = ledger.effects(spark, str(tmp_path)).cache()
+    assert set(e.columns) == {c.split()[0] for c in schema.EFFECT.split(", ")}
+    steps = {}
+    for r in state.history(e).orderBy("record_id", "n").collect():
+        steps.setdefault(r["record_id"][-1], []).append((r["seq"], r["new_state"]))
+    assert steps == {
+        "A": [(None, "promoted")], "B": [(2, "promoted"), (2, "retired")], "C": [(None, "promoted"), (3, "retired")],
+        "D": [(4, "promoted"), (6, "retired")], "E": [(7, "promoted"), (7, "retired"), (8, "rejected")],
+        "F": [(None, "rejected"), (None, "promoted"), (None, "retired")],
+    }
+    r, _ = tables([rec(i, x) for i, x in enumerate(ids.values())])
+    now = {x["record_id"]: x["state"] for x in state.with_state(r, e).collect()}
+    base = r.select(F.col("record_id").alias("key"), F.lit("proposed").alias("state"))
+    fed = changes_of(spark.read.parquet(f"{tmp_path}/verdict_feed.parquet"))
+    assert now == {x["key"]: x["state"] for x in apply_changes(fed, base).collect()}
