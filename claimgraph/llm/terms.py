@@ -20,6 +20,7 @@ from claimgraph.session import Workspace
 #: Share of an item's text that its own model may explain.
 OWN = 0.1
 TOLERANCE = 1e-6
+#: Most rounds until converged items are dropped, if they are not half of those left before.
 MAX_ROUNDS = 200
 #: A term with at least this part of its collection's occurrences is common. So many parts
 #: at most exist in each collection, which bounds what is broadcast.
@@ -45,21 +46,29 @@ def term_counts(items: DataFrame) -> DataFrame:
 def converge(tf: np.ndarray, background: np.ndarray, starts: np.ndarray, own: float = OWN) -> np.ndarray:
     """The items' own term probabilities. ``starts``: where each item's terms begin.
 
-    An item stops for itself, so its result doesn't depend on what else is in the batch.
+    An item stops for itself, so its result doesn't depend on what else is in the batch. Each goes
+    on until it has met the tolerance; those that have are dropped from the arrays.
     """
     sizes = np.diff(np.append(starts, len(tf)))
     p = tf / np.repeat(np.add.reduceat(tf, starts), sizes)
-    going = np.ones(len(starts), bool)
-    for _ in range(MAX_ROUNDS):
+    done, rows = np.empty_like(p), np.arange(len(tf))
+    going, rounds = np.ones(len(starts), bool), 0
+    while len(starts):
         e = tf * (own * p) / ((1 - own) * background + own * p)
         total = np.add.reduceat(e, starts)
         new = e / np.repeat(np.where(total > 0, total, 1), sizes)
         moved = np.maximum.reduceat(np.abs(new - p), starts)
         p = np.where(np.repeat(going, sizes), new, p)
         going &= moved > TOLERANCE
-        if not going.any():
-            break
-    return p
+        rounds += 1
+        if 2 * going.sum() <= len(going) or rounds % MAX_ROUNDS == 0:
+            held = np.repeat(going, sizes)
+            done[rows[~held]] = p[~held]
+            tf, background, p, rows = tf[held], background[held], p[held], rows[held]
+            sizes = sizes[going]
+            starts = np.cumsum(sizes) - sizes
+            going = np.ones(len(starts), bool)
+    return done
 
 
 def distinctive_terms(items: DataFrame, own: float = OWN) -> DataFrame:

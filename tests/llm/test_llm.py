@@ -304,3 +304,19 @@ def test_reading_awkward_rows(spark):
     assert {g["band"] for g in reading.reading_levels(docs, F.col("key"), F.col("text"), labels).collect()} <= {1, 2}
     assert reading.reading_levels(docs.where("false"), F.col("key"), F.col("text"), labels).count() == 0
     assert reading.measure("A b. c d!", {"a": 1}, 1) == (4, 2.0, [0.75])
+
+
+def test_items_converge_however_many_rounds_it_takes():
+    r = np.random.default_rng(0)
+    items = [(r.integers(1, 5, 8).astype(float), r.dirichlet(np.ones(8)) * 0.5) for _ in range(100)]
+    got = terms.converge(*[np.concatenate(x) for x in zip(*items)], np.arange(0, 800, 8))
+    most = 0
+    for i, (tf, bg) in enumerate(items):
+        p, moved, rounds = tf / tf.sum(), 1.0, 0
+        while moved > terms.TOLERANCE:
+            e = tf * 0.1 * p / (0.9 * bg + 0.1 * p)
+            old, p, rounds = p, e / e.sum(), rounds + 1
+            moved = np.abs(p - old).max()
+        most = max(most, rounds)
+        assert np.allclose(got[8 * i : 8 * i + 8], p, rtol=0, atol=1e-9)
+    assert most > 200
