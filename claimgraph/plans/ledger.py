@@ -104,7 +104,7 @@ def sql_id(c: str, p: str = "rec") -> str:
 
 LABEL = "nullif(lower(trim({0}, ' \t\r\n')), '')"
 
-#: The same tables in SQL, for the checks.
+#: The same tables in SQL, for the checks; ``pos`` orders a record's changes.
 WITH = f"""
 WITH ent AS (SELECT DISTINCT {sql_id('entity_id', 'ent')} AS entity_id, {LABEL.format('kind')} AS kind,
     {LABEL.format('label')} AS label, redacted_by FROM entities
@@ -115,13 +115,22 @@ WITH ent AS (SELECT DISTINCT {sql_id('entity_id', 'ent')} AS entity_id, {LABEL.f
     list_transform(evidence, lambda e: {sql_id('e.source', 'ent')}) AS sources, redacted_by, version FROM ledger_records
 ), eff0 AS (SELECT log_seq AS seq, {sql_id('record_id')} AS target_id, {sql_id('verdict_id')} AS verdict_id,
     verdict_at AS recorded_at, lower(split_part(trim(action), ' ', 1)) AS action, action AS said, {LABEL.format('state')} AS state,
-    {LABEL.format('author_kind')} AS author_kind FROM verdict_feed WHERE {LABEL.format('op')} = 'update' AND log_seq IS NOT NULL
-), eff AS (SELECT seq, max(verdict_id) AS verdict_id, max(recorded_at) AS recorded_at, max(target_id) AS target_id,
+    {LABEL.format('author_kind')} AS author_kind FROM verdict_feed WHERE {LABEL.format('op')} = 'update'
+), eff1 AS (SELECT seq, max(verdict_id) AS verdict_id, max(recorded_at) AS recorded_at, max(target_id) AS target_id,
     max(action) AS action, max(coalesce(state, CASE WHEN action = 'promote' AND contains(upper(said), 'RETIRING ' || upper(target_id))
       THEN 'retired' ELSE MAP {{'promote': 'promoted', 'retire': 'retired', 'reject': 'rejected', 'answer': 'answered',
       'withdraw': 'withdrawn', 'abandon': 'abandoned', 'score': 'scored'}}[action] END)) AS new_state, max(author_kind) AS author_kind
-    FROM eff0 GROUP BY seq
-), last AS (SELECT target_id AS record_id, arg_max(new_state, seq) AS state FROM eff GROUP BY 1
+    FROM eff0 GROUP BY seq, CASE WHEN seq IS NULL THEN concat_ws('/', target_id, verdict_id, epoch_us(recorded_at)) END
+), own AS (SELECT l.* FROM eff1 l WHERE l.seq IS NULL AND NOT EXISTS (SELECT 1 FROM eff1 n WHERE n.seq IS NOT NULL
+    AND n.target_id = l.target_id AND n.verdict_id = l.verdict_id AND n.recorded_at = l.recorded_at)
+), placed AS (SELECT l.target_id, l.verdict_id, l.recorded_at, any_value(l.action) AS action, any_value(l.new_state) AS new_state,
+    any_value(l.author_kind) AS author_kind, max(n.seq) AS seq FROM own l LEFT JOIN eff1 n ON n.target_id = l.target_id
+    AND n.recorded_at <= l.recorded_at GROUP BY 1, 2, 3
+), eff AS (SELECT *, coalesce(seq, -1) * 1000000 + nth AS pos FROM (
+    SELECT seq, 0 AS nth, verdict_id, recorded_at, target_id, action, new_state, author_kind FROM eff1 WHERE seq IS NOT NULL
+    UNION ALL SELECT seq, row_number() OVER (PARTITION BY target_id, seq ORDER BY recorded_at, verdict_id), verdict_id, recorded_at,
+      target_id, action, new_state, author_kind FROM placed)
+), last AS (SELECT target_id AS record_id, arg_max(new_state, pos) AS state FROM eff GROUP BY 1
 ), st AS (SELECT r.*, coalesce(l.state, CASE kind WHEN 'claim' THEN 'proposed' ELSE 'registered' END) AS state
     FROM rec r LEFT JOIN last l USING (record_id)
 )"""

@@ -117,7 +117,7 @@ AT, ON = "TIMESTAMP '2015-02-15'", "TIMESTAMP '2026-01-01'"
 
 
 def _admitted(record_time: str, valid_at: str, states: str, gaps: str = "state = 'registered'", more: str = "") -> str:
-    return f"""{WITH}, seen AS (SELECT target_id AS record_id, arg_max(new_state, seq) AS state FROM eff
+    return f"""{WITH}, seen AS (SELECT target_id AS record_id, arg_max(new_state, pos) AS state FROM eff
       WHERE recorded_at <= {record_time} GROUP BY 1
     ), v AS (SELECT * FROM (SELECT r.*, coalesce(l.state, CASE kind WHEN 'claim' THEN 'proposed' ELSE 'registered' END) AS state
       FROM rec r LEFT JOIN seen l USING (record_id)) WHERE recorded_at <= {record_time} AND valid_from <= {valid_at}
@@ -137,11 +137,11 @@ RULE = "SELECT '{0}' AS rule, {1} AS id, {2}::VARCHAR AS detail FROM {3}"
 
 SQL = {
     "state_now": WITH + " SELECT record_id, state FROM st",
-    "state_as_of": WITH + f""", seen AS (SELECT target_id AS record_id, arg_max(new_state, seq) AS state FROM eff
+    "state_as_of": WITH + f""", seen AS (SELECT target_id AS record_id, arg_max(new_state, pos) AS state FROM eff
       WHERE recorded_at <= {AT} GROUP BY 1) SELECT r.record_id, kind,
       coalesce(s.state, CASE kind WHEN 'claim' THEN 'proposed' ELSE 'registered' END) AS state
       FROM rec r LEFT JOIN seen s USING (record_id) WHERE recorded_at <= {AT}""",
-    "history": WITH + """ SELECT target_id AS record_id, row_number() OVER (PARTITION BY target_id ORDER BY seq)::INTEGER AS n,
+    "history": WITH + """ SELECT target_id AS record_id, row_number() OVER (PARTITION BY target_id ORDER BY pos)::INTEGER AS n,
       seq, verdict_id, action, new_state FROM eff WHERE target_id IS NOT NULL""",
     "promoted_claims": WITH + " SELECT record_id, seq FROM st WHERE kind = 'claim' AND state = 'promoted'",
     "registered_gaps": WITH + " SELECT record_id, seq FROM st WHERE kind = 'gap' AND state = 'registered'",
@@ -162,13 +162,13 @@ SQL = {
     "review_queue": WITH + f""" SELECT record_id, CASE WHEN due_at <= {ON} THEN 'due' ELSE 'missing' END AS queue FROM st
       WHERE kind = 'claim' AND state = 'promoted' AND (due_at <= {ON} OR (due_at IS NULL AND on_event IS NULL))""",
     "contradictions": WITH + ", p AS (SELECT * FROM st WHERE shape = 'attribute' AND state = 'promoted')" + CONTRA,
-    "contradictions_at": WITH + f""", seen AS (SELECT target_id AS record_id, arg_max(new_state, seq) AS state FROM eff
+    "contradictions_at": WITH + f""", seen AS (SELECT target_id AS record_id, arg_max(new_state, pos) AS state FROM eff
       WHERE recorded_at <= {AT} GROUP BY 1), p AS (SELECT r.* FROM rec r JOIN seen s USING (record_id)
       WHERE shape = 'attribute' AND recorded_at <= {AT} AND s.state = 'promoted')""" + CONTRA,
     "panel_latest": """SELECT user_id::VARCHAR AS target, event_type AS name, arg_max(value, event_id) AS value,
       arg_max(ts, event_id) AS "at" FROM events GROUP BY user_id, event_type""",
     "replay_violations": WITH + ", named AS (SELECT record_id, unnest(refs) AS ref FROM rec), ev AS (SELECT record_id, unnest(sources)"
-      " AS source FROM rec), steps AS (SELECT e.*, kind, coalesce(lag(new_state) OVER (PARTITION BY target_id ORDER BY e.seq), CASE kind"
+      " AS source FROM rec), steps AS (SELECT e.*, kind, coalesce(lag(new_state) OVER (PARTITION BY target_id ORDER BY pos), CASE kind"
       " WHEN 'claim' THEN 'proposed' WHEN 'gap' THEN 'registered' WHEN 'hypothesis' THEN 'registered' END) AS came, CASE WHEN"
       " action = 'promote' AND new_state = 'retired' THEN 'retire' ELSE action END AS verb FROM eff e LEFT JOIN rec r ON"
       " e.target_id = r.record_id) " + " UNION ALL ".join([
