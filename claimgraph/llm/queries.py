@@ -59,6 +59,12 @@ def p3_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_terms(distinctive_terms(term_items(spark, sf_dir)), 5)
 
 
+def p3_best_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term that is most an item's own, where it holds a twentieth of the item's model at least."""
+    best = top_terms(distinctive_terms(term_items(spark, sf_dir)), 1).where(F.col("weight") >= 0.05)
+    return best.select("place", "item_key", "term", "tf", "df")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "embedded_records")
     return exploded(records, norm_id(F.col("record_id")), F.col("model_id"), F.col("vectors"))
@@ -131,6 +137,7 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p3_found": p3_found,
     "p3_top_terms": p3_top_terms,
+    "p3_best_terms": p3_best_terms,
     "p5_found": p5_found,
     "p5_nearest": p5_nearest,
     "p6_found": p6_found,
@@ -146,17 +153,12 @@ ID = "'rec_' || regexp_replace(upper(trim({0}, ' \t\r\n')), '^REC_', '')"
 #: The characters with the property White_Space, as RE2 writes them.
 NOT_WHITE = r"[^\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
-SQL = {
-    "p1_found": f"""
-      WITH texts AS (SELECT DISTINCT {ID.format('record_id')} AS record_id,
-          len(regexp_extract_all(text, '{NOT_WHITE}')) AS n FROM ledger_records)
-      SELECT plan_id, record_id FROM texts, window_plans WHERE n > window_tokens""",
-    "p3_found": f"""
+TERMS = rf"""
       WITH items AS (
         SELECT 'record' AS place, {ID.format('record_id')} AS item_key, max(text) AS text FROM ledger_records GROUP BY 1, 2
         UNION ALL SELECT 'question', origin_key, max(question) FROM register_unknowns GROUP BY 1, 2
       ), words AS (
-        SELECT place, item_key, lower(unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'))) AS w FROM items
+        SELECT place, item_key, lower(unnest(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}]+'))) AS w FROM items
       ), folded AS (
         SELECT place, item_key, CASE
           WHEN strlen(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y'
@@ -165,7 +167,26 @@ SQL = {
         FROM words
       ), counts AS (
         SELECT place, item_key, term, count(*) AS tf FROM folded
-        WHERE regexp_full_match(term, '\\p{{L}}{{4,}}') GROUP BY ALL
+        WHERE regexp_full_match(term, '\p{{L}}{{4,}}') GROUP BY ALL
       ), df AS (SELECT place, term, count(*) AS df FROM counts GROUP BY ALL)
+"""
+
+SQL = {
+    "p1_found": f"""
+      WITH texts AS (SELECT DISTINCT {ID.format('record_id')} AS record_id,
+          len(regexp_extract_all(text, '{NOT_WHITE}')) AS n FROM ledger_records)
+      SELECT plan_id, record_id FROM texts, window_plans WHERE n > window_tokens""",
+    "p3_found": TERMS + """
       SELECT place, item_key, term FROM counts JOIN df USING (place, term) WHERE tf >= 2 AND df <= 4""",
+    # The fixed point of the EM in closed form: terms in order of tf over background have mass as long as
+    # that ratio is above a level, which the terms down to it give.
+    "p3_best_terms": TERMS + """, cf AS (SELECT place, term, sum(tf) AS cf FROM counts GROUP BY ALL
+      ), size AS (SELECT place, sum(tf) AS total FROM counts GROUP BY ALL
+      ), b AS (SELECT c.*, df, cf / total::DOUBLE AS bg FROM counts c JOIN cf USING (place, term) JOIN df USING (place, term) JOIN size USING (place)
+      ), r AS (SELECT *, sum(tf) OVER w / (1 + 9 * sum(bg) OVER w) AS mu, tf / bg AS ratio FROM b
+        WINDOW w AS (PARTITION BY place, item_key ORDER BY tf / bg DESC, term ROWS UNBOUNDED PRECEDING)
+      ), level AS (SELECT place, item_key, arg_min(mu, ratio) AS mu FROM r WHERE ratio > 9 * mu GROUP BY ALL
+      ), p AS (SELECT place, item_key, term, tf, df, tf / level.mu - 9 * bg AS weight FROM b JOIN level USING (place, item_key))
+      SELECT place, item_key, term, tf, df FROM (SELECT *, row_number() OVER (PARTITION BY place, item_key ORDER BY weight DESC, term) AS n FROM p)
+      WHERE n = 1 AND weight >= 0.05""",
 }

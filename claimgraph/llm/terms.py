@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.text import NOT_ALNUM, fold
@@ -22,11 +22,11 @@ OWN = 0.1
 TOLERANCE = 1e-6
 #: Most rounds until converged items are dropped, if they are not half of those left before.
 MAX_ROUNDS = 200
-#: A term with at least this part of its collection's occurrences is common. So many parts
-#: at most exist in each collection, which bounds what is broadcast.
-COMMON_PARTS = 5_000
-#: Most collections for which the common terms are broadcast.
-MAX_PLACES = 20
+#: A term of a place that makes at least this part of all rows is hot. So many parts at most exist,
+#: over all places together, which bounds what is broadcast; each other term is less than one part.
+HOT_PARTS = 50_000
+#: Over so many rows the size of a collection is spread to its terms.
+SALTS = 32
 
 
 def term_counts(items: DataFrame) -> DataFrame:
@@ -35,6 +35,8 @@ def term_counts(items: DataFrame) -> DataFrame:
     Terms are words of letters alone and of four characters or more, lower case, plural folded.
     """
     raw = items.select("place", "item_key", F.explode(F.split("text", NOT_ALNUM)).alias("raw"))
+    # Folding makes no word longer, so the short ones need neither folding nor the pattern.
+    raw = raw.where(F.char_length("raw") >= 4)
     folded = raw.select("place", "item_key", fold(F.lower("raw")).alias("term"))
     return (
         folded.where(F.col("term").rlike(r"^\p{L}{4,}$"))
@@ -90,52 +92,43 @@ def distinctive_terms(items: DataFrame, own: float = OWN) -> DataFrame:
     counts = ws.table(term_counts(once), "counts")
     by_term = counts.groupBy("place", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     by_term = ws.table(by_term, "by_term")
+    rows = by_term.agg(F.sum("df")).first()[0] or 0
+    # A collection may have most of the terms, so its total is spread before it meets them.
+    salt = F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")
     totals = by_term.groupBy("place").agg(F.sum("cf").alias("total"))
-    places = totals.limit(MAX_PLACES + 1).collect()
-    model = by_term.join(totals if len(places) > MAX_PLACES else F.broadcast(totals), "place").select(
-        "place", "term", "df", "cf", (F.col("cf") / F.col("total")).alias("background"), "total"
+    totals = totals.select("place", "total", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    model = by_term.withColumn("salt", salt).join(totals, ["place", "salt"]).select(
+        "place", "term", "df", (F.col("cf") / F.col("total")).alias("background")
     )
-    common = F.col("cf") * COMMON_PARTS >= F.col("total")
-    if len(places) > MAX_PLACES:
-        joined = counts.join(model.drop("total", "cf"), ["place", "term"])
-    else:
-        # The common terms have too many rows for one task each, but are few: they are broadcast.
-        # A rare term has less than one part of COMMON_PARTS of the rows, so its join is no hot spot.
-        few = model.where(common).select("place", "term", "df", "background")
-        tagged = counts.join(F.broadcast(few), ["place", "term"], "left")
-        rare = model.where(~common).select("place", "term", "df", "background")
-        joined = (
-            tagged.where(F.col("df").isNull()).drop("df", "background").join(rare, ["place", "term"])
-        ).unionByName(tagged.where(F.col("df").isNotNull()))
-    grouped = joined.groupBy("place", "item_key").agg(
+    # Hot terms have too many rows for one task each, but are few: they are broadcast.
+    hot = F.col("df") * HOT_PARTS >= rows
+    few = F.broadcast(model.where(hot))
+    common = counts.join(few, ["place", "term"])
+    rare = counts.join(few.select("place", "term"), ["place", "term"], "left_anti").join(model.where(~hot), ["place", "term"])
+    grouped = common.unionByName(rare).groupBy("place", "item_key").agg(
         F.array_sort(F.collect_list(F.struct("term", "tf", "df", "background"))).alias("terms")
     )
-    columns = grouped.select(
-        "place", "item_key", *[F.col(f"terms.{c}").alias(c) for c in ("term", "tf", "df", "background")]
-    )
 
-    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            sizes = b["tf"].map(len).to_numpy()
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
-            tf = np.concatenate(b["tf"].to_numpy())
-            p = converge(tf.astype(float), np.concatenate(b["background"].to_numpy()), starts, own)
-            yield pd.DataFrame(
-                {
-                    "place": np.repeat(b["place"].to_numpy(), sizes),
-                    "item_key": np.repeat(b["item_key"].to_numpy(), sizes),
-                    "term": np.concatenate(b["term"].to_numpy()),
-                    "tf": tf,
-                    "df": np.concatenate(b["df"].to_numpy()),
-                    "weight": p,
-                }
+            lists = b.column(2)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            # The four fields of all items one after the other; flattening an array keeps its slice.
+            term, tf, df, background = lists.flatten().flatten()
+            p = converge(
+                tf.to_numpy(zero_copy_only=False).astype(float), background.to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes, own
             )
+            of = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+            columns = [b.column(0).take(of), b.column(1).take(of), term, tf, df, pa.array(p)]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, TYPES)], NAMES)
 
-    return columns.mapInPandas(
-        weights, "place string, item_key string, term string, tf long, df long, weight double"
-    )
+    return grouped.mapInArrow(weights, "place string, item_key string, term string, tf long, df long, weight double")
+
+
+NAMES = ["place", "item_key", "term", "tf", "df", "weight"]
+TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
 
 
 def top_terms(scored: DataFrame, k: int) -> DataFrame:
