@@ -6,6 +6,10 @@ to tell a vector's partition. Every vector is indexed under its most probable pa
 and looks for neighbours in its several most probable ones; how many, is found on the
 sample. Candidates are ranked by exact cosines.
 
+A partition that is still too large is a space of its own for the next level: a sample of
+it gives a classifier below the one that led there. So partitions stay near one size,
+however many vectors there are. Classifiers are learned in tasks, one for each node.
+
 Copies of a vector are one class: only classes are indexed, so a group of copies of any
 size costs one row. A partition of any size is compared in tiles of bounded size.
 """
@@ -22,11 +26,15 @@ from pyspark.sql import functions as F
 
 from claimgraph.session import Workspace
 
-#: Vectors of each space that the index is learned from, at most; chosen by hash.
+#: Vectors of each node that its classifier is learned from, about; chosen by hash.
 SAMPLE = 12_000
-#: Classes that a partition holds on average, and the most partitions of a space.
+#: Classes that a partition holds on average, and the most partitions below one node.
 PARTITION = 1_500
-MAX_PARTITIONS = 512
+FANOUT = 256
+#: Below the first level only nodes of so many partitions and more are cut further.
+DEEPER = 8
+#: Levels of classifiers at most: FANOUT ** LEVELS partitions; beyond, partitions just get larger.
+LEVELS = 6
 GRAPH_K = 10
 #: Rows on either side of a tile.
 TILE = 4_096
@@ -35,8 +43,12 @@ ROUTED = 0.999
 NEIGHBOUR_ROUTED = 0.95
 #: Error of a cosine of half-precision unit vectors, with room to spare.
 HALF_ERROR = 2e-3
-#: Most spaces (model and dimension); one index each is sent to every task.
-MAX_SPACES = 100
+#: Bytes of one level's classifiers up to which they go to every task; they are added up before.
+#: Beyond, vectors are brought to their node's classifier, so many of a node together.
+BROADCAST_BYTES = 64 << 20
+ROUTE_ROWS = 100_000
+#: Keys of a class in one row; what is paired are such rows.
+KEYS = 1_000
 
 
 @dataclass
@@ -118,14 +130,15 @@ def train_classifier(x: np.ndarray, part: np.ndarray, parts: int, seed: int = 0,
     return w
 
 
-def learn(x: np.ndarray, classes: int, threshold: float | None, seed: int = 0) -> Router:
-    """A router for a space of ``classes`` vectors from unit rows of a sample.
+def learn(x: np.ndarray, parts: int, threshold: float | None, levels: int = 1, seed: int = 0) -> Router:
+    """A router into about so many parts from unit rows of a sample. With several ``levels`` each
+    may lose only its part of what all may.
 
     With a threshold the probes are as many as bring together pairs of exactly that
     cosine, made from the sample by turning its vectors in random directions; without, the
     sample's own neighbours.
     """
-    parts = min(MAX_PARTITIONS, max(1, classes // PARTITION), max(1, len(x) // 16))
+    parts = max(1, min(parts, len(x) // 16))
     depth = int(parts - 1).bit_length()
     x = x.astype(np.float32)
     near = neighbour_graph(x, GRAPH_K)
@@ -152,7 +165,7 @@ def learn(x: np.ndarray, classes: int, threshold: float | None, seed: int = 0) -
     need = (sa > sa[line, at_b][:, None]).sum(axis=1)
     if threshold is not None:
         need = np.minimum(need, (sb > sb[line, at_a][:, None]).sum(axis=1))
-    router.probes = int(np.ceil(np.quantile(need, wanted))) + 1
+    router.probes = int(np.ceil(np.quantile(need, 1 - (1 - wanted) / levels))) + 1
     return router
 
 
@@ -179,12 +192,21 @@ def _units(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _unpack(weights: bytes, parts: int, probes: int) -> Router:
+    return Router(np.frombuffer(weights, np.float32).reshape(parts, -1), int(probes))
+
+
+def _halves(halves: pd.Series) -> np.ndarray:
+    return np.stack([np.frombuffer(h, np.float16) for h in halves]).astype(np.float32)
+
+
 class Index:
     """The classes of all vectors, routed. ``members``: key, space, h1, h2, one row for each key of a class."""
 
     def __init__(self, vectors: DataFrame, threshold: float | None = None, queries: DataFrame | None = None):
         """``vectors``: as from ``exploded``. ``queries``: space, h1, h2 of the classes that look for
         neighbours; all of them by default."""
+        self.threshold = threshold
         self.ws = Workspace(vectors.sparkSession, "neighbours")
         flat = self.ws.table(vectors, "vectors")
         self.vectors = flat
@@ -193,86 +215,142 @@ class Index:
         alone = F.when(F.min("key") == F.max("key"), F.xxhash64(F.min("key"))).otherwise(F.lit(0))
         classes = flat.groupBy("space", "h1", "h2").agg(F.first("vector").alias("vector"), alone.alias("alone"))
         self.classes = self.ws.table(classes, "classes")
-        sizes = {r[0]: r[1] for r in self.classes.groupBy("space").count().limit(MAX_SPACES + 1).collect()}
-        if len(sizes) > MAX_SPACES:
-            raise ValueError(f"more than {MAX_SPACES} spaces")
-        self.routers: dict[str, Router] = {}
-        for space, n in sorted(sizes.items()):
-            rows = self.classes.where(F.col("space") == space).orderBy("h1", "h2").limit(SAMPLE).select("vector").toPandas()
-            self.routers[space] = learn(_units(rows["vector"]), n, threshold)
         asked = self.classes.withColumn("asks", F.lit(True))
         if queries is not None:
             asks = queries.select("space", "h1", "h2").distinct().withColumn("asks", F.lit(True))
             asked = self.classes.join(asks, ["space", "h1", "h2"], "left").withColumn("asks", F.col("asks").isNotNull())
-        routers = self.routers
-
-        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for space, rows in b.groupby("space", sort=True):
-                    x = _units(rows["vector"])
-                    to = routers[space].route(x).astype(np.int32)
-                    yield pd.DataFrame(
-                        {
-                            "space": space,
-                            "h1": rows["h1"],
-                            "h2": rows["h2"],
-                            "alone": rows["alone"],
-                            "own": to[:, 0],
-                            "probes": [p if a else p[:0] for p, a in zip(to, rows["asks"])],
-                            "half": [h.tobytes() for h in x.astype(np.float16)],
-                        }
-                    )
-
-        self.routed = self.ws.table(
-            asked.mapInPandas(route, "space string, h1 long, h2 long, alone long, own int, probes array<int>, half binary"),
-            "routed",
-        )
 
-    def tiles(self) -> DataFrame:
-        """Every class as a member of its own partition and as a query in its probed ones, by tile."""
-        held = self.routed.groupBy("space", F.col("own").alias("part")).agg(F.count("*").alias("members"))
-        asks = self.routed.select("space", F.explode("probes").alias("part")).groupBy("space", "part")
-        sizes = held.join(asks.agg(F.count("*").alias("asking")), ["space", "part"])
-        # One row for each partition: at most MAX_SPACES * MAX_PARTITIONS.
-        sizes = sizes.select(
-            "space",
-            "part",
-            F.ceil(F.col("members") / TILE).cast("int").alias("across"),
-            F.ceil(F.col("asking") / TILE).cast("int").alias("down"),
+        @F.pandas_udf("binary")
+        def half(vectors: pd.Series) -> pd.Series:
+            out = np.empty(len(vectors), object)
+            lengths = vectors.map(len).to_numpy()
+            for n in np.unique(lengths):
+                rows = np.flatnonzero(lengths == n)
+                out[rows] = [h.tobytes() for h in _units(vectors.iloc[rows]).astype(np.float16)]
+            return pd.Series(out)
+
+        #: node, space, h1, h2, alone, half, member (its own place), asks (looks for neighbours here).
+        self.placed = asked.select(
+            F.col("space").alias("node"), "space", "h1", "h2", "alone", half("vector").alias("half"), F.lit(True).alias("member"), "asks"
         )
-        r, cut = self.routed, F.broadcast(sizes)
-        slot = lambda h, n: F.pmod(F.xxhash64(F.lit(7), h), F.col(n)).cast("int")
-        members = (
-            r.select("space", F.col("own").alias("part"), "h1", "h2", "alone", "half")
-            .join(cut, ["space", "part"])
-            .select(
-                "space", "part", slot("h1", "across").alias("x"),
-                F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"),
-                F.lit(False).alias("asks"), "h1", "h2", "alone", "half",
+        self._descend()
+
+    def _descend(self) -> None:
+        """Level after level, until no node has so many members that it is worth cutting."""
+        held, self.first = self.classes.groupBy(F.col("space").alias("node")).agg(F.count("*").alias("n")), None
+        for level in range(LEVELS):
+            least = 2 if level == 0 else DEEPER
+            sizes = self.ws.table(held.where(F.col("n") >= least * PARTITION), f"sizes-{level}")
+            if sizes.isEmpty():
+                break
+            routers = self._learn(sizes, level)
+            self.first = routers if level == 0 else self.first
+            self.placed = self.ws.table(self._route(routers, sizes), f"placed-{level}")
+            held = self.placed.where("member").groupBy("node").agg(F.count("*").alias("n"))
+        if level == 0:
+            self.placed = self.ws.table(self.placed, "placed")
+
+    def _learn(self, sizes: DataFrame, level: int) -> DataFrame:
+        """``node, weights, parts, probes`` of the nodes that are cut, each learned in a task of its own."""
+        threshold, partition, fanout = self.threshold, PARTITION, FANOUT
+        # A class's hash decides, so the sample of a node is spread evenly and about of the wanted size.
+        sample = self.placed.where("member").join(sizes, "node").where(F.pmod(F.xxhash64("h1", "h2"), F.col("n")) < SAMPLE)
+
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["h1", "h2"])
+            n = int(rows["n"].iloc[0])
+            levels = max(1, int(np.ceil(np.log(n / partition) / np.log(fanout)))) if level == 0 else 1
+            router = learn(_halves(rows["half"]).astype(np.float64), min(fanout, n // partition), threshold, levels + (level > 0))
+            return pd.DataFrame(
+                {"node": rows["node"].iloc[:1], "weights": [router.weights.tobytes()], "parts": len(router.weights), "probes": router.probes}
             )
+
+        rows = sample.select("node", "n", "h1", "h2", "half")
+        fitted = rows.groupBy("node").applyInPandas(fit, "node string, weights binary, parts int, probes int")
+        return self.ws.table(fitted, f"routers-{level}")
+
+    def _route(self, routers: DataFrame, sizes: DataFrame) -> DataFrame:
+        fields = self.placed.schema.names
+
+        def move(rows: pd.DataFrame, router: Router) -> pd.DataFrame:
+            """The rows below a node: a member under its best child, what asks under all it probes."""
+            to = router.route(_halves(rows["half"]))
+            times = np.where(rows["asks"], to.shape[1], 1)
+            at = np.repeat(np.arange(len(rows)), times)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            out = rows.iloc[at].reset_index(drop=True)
+            out["node"] = [f"{node}/{child}" for node, child in zip(out["node"], to[at, nth])]
+            out["member"] = out["member"].to_numpy() & (nth == 0)
+            # A probe that neither is at home here nor asks would be no use.
+            return out[out["member"] | out["asks"]][fields]
+
+        kinds = ", ".join(f"{n} {t}" for n, t in self.placed.dtypes)
+        if (routers.agg(F.sum(F.octet_length("weights"))).first()[0] or 0) <= BROADCAST_BYTES:
+            known = {r["node"]: _unpack(r["weights"], r["parts"], r["probes"]) for r in routers.collect()}
+
+            def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    for node, rows in b.groupby("node", sort=True):
+                        yield move(rows, known[node]) if node in known else rows
+
+            return self.placed.mapInPandas(route, kinds)
+        # Too many classifiers for every task: each goes to chunks of its own node.
+        chunks = F.ceil(F.col("n") * 4 / ROUTE_ROWS).cast("int")
+        cut = sizes.select("node", chunks.alias("chunks"))
+        rows = self.placed.join(cut, "node").withColumn("chunk", F.pmod(F.xxhash64("h1", "h2"), "chunks").cast("int")).drop("chunks")
+        led = routers.join(cut, "node").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+        def route_group(rows: pd.DataFrame, led: pd.DataFrame) -> pd.DataFrame:
+            r = led.iloc[0] if len(led) else None
+            return move(rows[fields], _unpack(r["weights"], r["parts"], r["probes"])) if len(rows) and r is not None else rows[fields]
+
+        moved = rows.groupBy("node", "chunk").cogroup(led.groupBy("node", "chunk")).applyInPandas(route_group, kinds)
+        return moved.unionByName(self.placed.join(cut, "node", "left_anti"))
+
+    @property
+    def routers(self) -> dict[str, Router]:
+        """The classifiers of the first level, by space."""
+        return {} if self.first is None else {r["node"]: _unpack(r["weights"], r["parts"], r["probes"]) for r in self.first.collect()}
+
+    def report(self) -> DataFrame:
+        """``space, classes, partitions, largest, probes, scanned``: of each space the partitions with members, the
+        partitions that an asking class looks into on average, and the share of the classes it is compared with."""
+        per = self.placed.groupBy("space", "node").agg(
+            F.count(F.when(F.col("member"), 1)).alias("held"), F.count(F.when(F.col("asks"), 1)).alias("asked")
+        )
+        asking = self.placed.where(F.col("member") & F.col("asks")).groupBy("space").agg(F.count("*").alias("asking"))
+        space = per.groupBy("space").agg(
+            F.sum("held").alias("classes"), F.count(F.when(F.col("held") > 0, 1)).alias("partitions"), F.max("held").alias("largest"),
+            F.sum("asked").alias("probed"), F.sum(F.col("held") * F.col("asked")).alias("pairs"),
         )
-        queries = (
-            r.select("space", F.explode("probes").alias("part"), "h1", "h2", "alone", "half")
-            .join(cut, ["space", "part"])
-            .select(
-                "space", "part", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"),
-                slot("h2", "down").alias("y"), F.lit(True).alias("asks"), "h1", "h2", "alone", "half",
-            )
+        return space.join(asking, "space").select(
+            "space", "classes", "partitions", "largest", (F.col("probed") / F.col("asking")).alias("probes"),
+            (F.col("pairs") / F.col("asking") / F.col("classes")).alias("scanned"),
         )
-        return members.unionByName(queries)
+
+    def tiles(self) -> DataFrame:
+        """Every class as a member of its own partition and as a query in its probed ones, by tile."""
+        count = lambda flag: F.ceil(F.count(F.when(F.col(flag), 1)) / TILE).cast("int")
+        sizes = self.placed.groupBy("node").agg(count("member").alias("across"), count("asks").alias("down"))
+        rows = self.placed.join(sizes.where("across > 0 AND down > 0"), "node")
+        slot = lambda h, n: F.pmod(F.xxhash64(F.lit(7), h), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        shown = ("node", "x", "y", "asks", "space", "h1", "h2", "alone", "half")
+        members = rows.where("member").withColumn("asks", F.lit(False)).withColumn("x", slot("h1", "across")).withColumn("y", every("down"))
+        queries = rows.where("asks").withColumn("x", every("across")).withColumn("y", slot("h2", "down"))
+        return members.select(*shown).unionByName(queries.select(*shown))
 
     def candidates(self, threshold: float | None, k: int | None) -> DataFrame:
         """``space, a1, a2, b1, b2, close``: of each tile the pairs near the threshold, or each query's
         k best; a is the query."""
 
         def rank(b: pd.DataFrame) -> pd.DataFrame:
-            vectors = lambda rows: np.stack([np.frombuffer(h, np.float16) for h in rows["half"]]).astype(np.float32)
             q, m = b[b["asks"]], b[~b["asks"]]
             out = []
             if len(q) and len(m):
-                y, m1, m2 = vectors(m).T, m["h1"].to_numpy(), m["h2"].to_numpy()
+                y, m1, m2 = _halves(m["half"]).T, m["h1"].to_numpy(), m["h2"].to_numpy()
                 q1, q2 = q["h1"].to_numpy(), q["h2"].to_numpy()
-                x, key, keys = vectors(q), q["alone"].to_numpy(), m["alone"].to_numpy()
+                x, key, keys = _halves(q["half"]), q["alone"].to_numpy(), m["alone"].to_numpy()
                 for a in range(0, len(q), 512):
                     s = x[a : a + 512] @ y
                     if threshold is not None:
@@ -290,7 +368,7 @@ class Index:
             found.insert(0, "space", b["space"].iloc[0])
             return found
 
-        return self.tiles().groupBy("space", "part", "x", "y").applyInPandas(
+        return self.tiles().groupBy("node", "x", "y").applyInPandas(
             rank, "space string, a1 long, a2 long, b1 long, b2 long, close double"
         )
 
@@ -326,20 +404,26 @@ def similar_classes(index: Index, threshold: float) -> DataFrame:
 def similar_keys(index: Index, threshold: float) -> DataFrame:
     """``key_a, key_b``: pairs of different keys, smaller first, with vectors at or above the threshold.
 
-    Vectors of one space only are compared. Classes are compared, then their members joined;
-    null, empty and zero vectors and those with a null, a NaN or an infinite number have no part.
+    Vectors of one space only are compared. Classes are compared, then their members joined: the
+    keys of a class lie in rows of ``KEYS``, and each pair of such rows is spread out for itself, so
+    no class is one task. Null, empty and zero vectors and those with a null, a NaN or an infinite
+    number have no part. Who wants no pairs within classes takes ``similar_classes`` and ``index.members``.
     """
-    m = index.members
-    side = lambda s: m.select("space", F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("key").alias(f"key_{s}"))
+    place = ["space", "h1", "h2"]
+    counts = index.members.groupBy(*place).agg(F.count("*").alias("m"))
+    chunk = F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / KEYS)).cast("int")
+    rows = index.members.join(counts, place).groupBy(*place, "m", chunk.alias("chunk")).agg(F.collect_list("key").alias("keys"))
+    rows = index.ws.table(rows, "keys")
+    side = lambda s: rows.select(
+        "space", F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("chunk").alias(f"chunk_{s}"),
+        F.col("keys").alias(f"keys_{s}"), F.col("m").alias(f"m_{s}"),
+    )
     between = similar_classes(index, threshold).drop("cosine")
     between = between.join(side("a"), ["space", "a1", "a2"]).join(side("b"), ["space", "b1", "b2"])
-    within = side("a").join(
-        side("b").withColumnsRenamed({"b1": "a1", "b2": "a2"}), ["space", "a1", "a2"]
-    )
-    pairs = between.select("key_a", "key_b").where(F.col("key_a") != F.col("key_b")).unionByName(
-        within.where(F.col("key_a") < F.col("key_b")).select("key_a", "key_b")
-    )
-    return pairs.select(
+    within = side("a").where("m_a > 1").join(side("b").withColumnsRenamed({"b1": "a1", "b2": "a2"}), ["space", "a1", "a2"]).where("chunk_a <= chunk_b")
+    both = between.select("keys_a", "keys_b").unionByName(within.select("keys_a", "keys_b"))
+    pairs = both.withColumn("key_a", F.explode("keys_a")).select("key_a", F.explode("keys_b").alias("key_b"))
+    return pairs.where(F.col("key_a") != F.col("key_b")).select(
         F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")
     ).distinct()
 

@@ -82,6 +82,12 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(Index(rows, queries=asking), 10)
 
 
+def p5_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions, probes and the share of the vectors that a vector is compared with, in each space."""
+    report = Index(vectors(spark, sf_dir), threshold=0.9).report()
+    return report.withColumns({c: F.round(c, 4) for c in ("probes", "scanned")})
+
+
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "eval_items")
     fields = items.select(F.col("item_id").alias("item"), F.lit("question").alias("field"), F.col("question").alias("text"))
@@ -140,6 +146,7 @@ QUERIES = {
     "p3_best_terms": p3_best_terms,
     "p5_found": p5_found,
     "p5_nearest": p5_nearest,
+    "p5_routing": p5_routing,
     "p6_found": p6_found,
     "p6_spans": p6_spans,
     "p7_found": p7_found,
@@ -171,7 +178,16 @@ TERMS = rf"""
       ), df AS (SELECT place, term, count(*) AS df FROM counts GROUP BY ALL)
 """
 
+#: The vectors that count, and all pairs of them.
+VECTORS = f"""
+      WITH v AS (SELECT DISTINCT {ID.format('record_id')} AS id, model_id, unnest(vectors) AS v FROM embedded_records
+      ), u AS (SELECT DISTINCT id, model_id, v::DOUBLE[] AS v FROM v WHERE id IS NOT NULL AND model_id IS NOT NULL AND len(v) > 0
+        AND NOT list_contains(list_transform(v, lambda c: c IS NULL OR isnan(c) OR isinf(c)), true)
+        AND list_contains(list_transform(v, lambda c: c <> 0), true))"""
+
 SQL = {
+    "p5_found": VECTORS + """ SELECT DISTINCT a.id AS record_id_a, b.id AS record_id_b FROM u a JOIN u b ON a.model_id = b.model_id
+      AND len(a.v) = len(b.v) AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
     "p1_found": f"""
       WITH texts AS (SELECT DISTINCT {ID.format('record_id')} AS record_id,
           len(regexp_extract_all(text, '{NOT_WHITE}')) AS n FROM ledger_records)

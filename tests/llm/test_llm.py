@@ -322,3 +322,26 @@ def test_items_converge_however_many_rounds_it_takes():
         most = max(most, rounds)
         assert np.allclose(got[8 * i : 8 * i + 8], p, rtol=0, atol=1e-9)
     assert most > 200
+
+
+def test_levels_of_routers(spark, monkeypatch):
+    for name, value in (("PARTITION", 20), ("FANOUT", 8), ("DEEPER", 3), ("KEYS", 7)):
+        monkeypatch.setattr(neighbours, name, value)
+    r = np.random.default_rng(9)
+    centres = 2 * r.standard_normal((40, 12))
+    x = r.standard_normal((1500, 12)) + centres[r.integers(0, 40, 1500)]
+    near = 1.0001 * x[:200] + 0.1 * r.standard_normal((200, 12))
+    rows = [(f"k{i:04d}", "m", [v.tolist()], 0) for i, v in enumerate(np.concatenate([x, near]))]
+    rows += [(f"c{i:03d}", "m", [[2.0] * 12], 0) for i in range(60)]
+    found = []
+    for limit in (neighbours.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(neighbours, "BROADCAST_BYTES", limit)
+        index = neighbours.Index(vector_rows(spark, rows), threshold=0.95)
+        deepest = max(p["node"].count("/") for p in index.placed.select("node").distinct().collect())
+        report = index.report().collect()[0]
+        assert deepest >= 2 and report["partitions"] > 40 and report["classes"] == 1701 and 0 < report["scanned"] < 1
+        found.append({(p["key_a"], p["key_b"]) for p in neighbours.similar_keys(index, 0.95).collect()})
+        assert index.placed.where("member").groupBy("h1", "h2").count().where("count > 1").count() == 0
+    want = brute(rows, 0.95)
+    assert found[0] == found[1] and not found[0] - want and len(want - found[0]) <= 0.02 * len(want)
+    assert sum(a[0] == "c" == b[0] for a, b in found[0]) == 60 * 59 // 2
