@@ -32,7 +32,7 @@ SAMPLE = 12_000
 PARTITION = 1_500
 FANOUT = 256
 #: Below the first level only nodes of so many partitions and more are cut further.
-DEEPER = 8
+DEEPER = 4
 #: Levels of classifiers at most: FANOUT ** LEVELS partitions; beyond, partitions just get larger.
 LEVELS = 6
 GRAPH_K = 10
@@ -40,7 +40,7 @@ GRAPH_K = 10
 TILE = 4_096
 #: Share of the sample's pairs that routing must bring together.
 ROUTED = 0.999
-NEIGHBOUR_ROUTED = 0.95
+NEIGHBOUR_ROUTED = 0.97
 #: Error of a cosine of half-precision unit vectors, with room to spare.
 HALF_ERROR = 2e-3
 #: Bytes of one level's classifiers up to which they go to every task; they are added up before.
@@ -130,13 +130,13 @@ def train_classifier(x: np.ndarray, part: np.ndarray, parts: int, seed: int = 0,
     return w
 
 
-def learn(x: np.ndarray, parts: int, threshold: float | None, levels: int = 1, seed: int = 0) -> Router:
+def learn(x: np.ndarray, parts: int, threshold: float | None, levels: int = 1, share: float = 1.0, seed: int = 0) -> Router:
     """A router into about so many parts from unit rows of a sample. With several ``levels`` each
     may lose only its part of what all may.
 
     With a threshold the probes are as many as bring together pairs of exactly that
     cosine, made from the sample by turning its vectors in random directions; without, the
-    sample's own neighbours.
+    sample's own neighbours, as many of them as the sample's ``share`` of the node leaves.
     """
     parts = max(1, min(parts, len(x) // 16))
     depth = int(parts - 1).bit_length()
@@ -150,7 +150,11 @@ def learn(x: np.ndarray, parts: int, threshold: float | None, levels: int = 1, s
     rng = np.random.default_rng(seed + 1)
     rows = rng.permutation(len(x))[:4000]
     if threshold is None:
-        pairs = np.repeat(rows, near.shape[1]), near[rows].ravel()
+        # Of a part of the vectors, only so many of a vector's nearest are as near as those it has in all.
+        cosine = (x[rows, None] * x[near[rows]]).sum(axis=2)
+        k = max(1, int(np.ceil(near.shape[1] * share)))
+        best = np.take_along_axis(near[rows], np.argsort(-cosine, axis=1)[:, :k], 1)
+        pairs = np.repeat(rows, k), best.ravel()
         a, b, wanted = x[pairs[0]], x[pairs[1]], NEIGHBOUR_ROUTED
     else:
         a = x[rows]
@@ -260,7 +264,7 @@ class Index:
             rows = rows.sort_values(["h1", "h2"])
             n = int(rows["n"].iloc[0])
             levels = max(1, int(np.ceil(np.log(n / partition) / np.log(fanout)))) if level == 0 else 1
-            router = learn(_halves(rows["half"]).astype(np.float64), min(fanout, n // partition), threshold, levels + (level > 0))
+            router = learn(_halves(rows["half"]).astype(np.float64), min(fanout, n // partition), threshold, levels + (level > 0), len(rows) / n)
             return pd.DataFrame(
                 {"node": rows["node"].iloc[:1], "weights": [router.weights.tobytes()], "parts": len(router.weights), "probes": router.probes}
             )
