@@ -13,6 +13,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ RUN = 10
 #: Indexed words of a shard, after which its index is built and searched.
 SHARD_WORDS = 1_000_000
 SAMPLED = 16
-#: Words of all items together, at most: they are sent to every task.
-MAX_ITEM_WORDS = 5_000_000
+#: Bytes of item texts that go to the tasks at once; more take another pass over the documents.
+MAX_ITEM_BYTES = 40_000_000
 
 WORD = re.compile(r"[^\W_]+")
 #: Characters within a word that a reader does not see.
@@ -229,18 +230,27 @@ def leaked_spans(
 
     Null keys and texts are left out on either side, and so are fields of fewer words.
     Repeated rows give repeated spans. Other columns are ignored. Without items or
-    documents the result is empty. Items above ``MAX_ITEM_WORDS`` raise ValueError.
+    documents the result is empty. Items of more than ``MAX_ITEM_BYTES`` are searched in groups.
     """
     fields = items.select(F.col("item").cast("string"), F.col("field").cast("string"), "text").where(
         F.col("item").isNotNull() & F.col("text").isNotNull()
     )
-    bytes_all = fields.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if bytes_all > 8 * MAX_ITEM_WORDS:
-        raise ValueError(f"the items have more than {MAX_ITEM_WORDS} words")
+    groups = -(-(fields.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // MAX_ITEM_BYTES)
+    if groups > 1:
+        # A field is searched for itself, so the groups' spans are those of all items.
+        group = F.pmod(F.xxhash64("item", "field", "text"), F.lit(groups))
+        parts = [_leaked(documents, key, text, fields.where(group == g), run, shard_words) for g in range(groups)]
+        return reduce(DataFrame.unionByName, parts)
+    return _leaked(documents, key, text, fields, run, shard_words)
+
+
+def _leaked(documents: DataFrame, key: Column, text: Column, fields: DataFrame, run: int, shard_words: int) -> DataFrame:
     rows = sorted({(r[0], r[1], r[2]) for r in fields.collect()}, key=str)
+    # Taken apart once; each worker keeps one copy.
+    shared = documents.sparkSession.sparkContext.broadcast(Phrases(rows, run))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phrases = Phrases(rows, run)
+        phrases = shared.value
         if not len(phrases.rows):
             return
         known, docs, numbers, held = phrases.known, [], [], 0

@@ -19,8 +19,10 @@ from claimgraph.session import Workspace
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most target rows; they are planned on the driver and sent to every task.
+#: Target rows that are planned on the driver and sent to every task; more are planned as a table.
 MAX_SOURCES = 100_000
+#: Over so many rows a source's rate is spread where it is joined.
+SALTS = 64
 
 PLAN = T.StructType(
     [
@@ -61,24 +63,61 @@ def count_tokens(text: Column, tokenizer: str = TOKENIZER) -> Column:
     return count(text)
 
 
-def water_fill(own: list[int], share: list[float], cap: list[int], total: float) -> list[tuple[bool, float]]:
-    """For each source whether it is clamped, and its tokens in a mix of ``total`` tokens."""
+def water_fill(own: list[int], share: list[float], cap: list[int], total: float) -> list[tuple[int, float]]:
+    """For each source the pass in which it was clamped (0 for never), and its tokens in a mix of ``total`` tokens.
+
+    The first pass gives every source its own share: who is clamped in it cannot reach that share.
+    """
     given = [0.0] * len(own)
-    clamped = [False] * len(own)
+    clamped = [0] * len(own)
+    n = 0
     while True:
+        n += 1
         room = total - sum(g for g, c in zip(given, clamped) if c)
         weight = sum(s for s, c in zip(share, clamped) if not c)
         anew = False
         for i, (o, s, m) in enumerate(zip(own, share, cap)):
             if clamped[i]:
                 continue
-            given[i] = max(room, 0.0) * s / weight if weight > 0 else 0.0
+            # Shares that add up to 1 but for rounding are taken as they are.
+            part = s if n == 1 and abs(weight - 1) < 1e-9 else s / weight if weight > 0 else 0.0
+            given[i] = max(room, 0.0) * part
             if given[i] > o * m:
-                given[i], clamped[i], anew = float(o * m), True, True
+                given[i], clamped[i], anew = float(o * m), n, True
         if not anew:
             return list(zip(clamped, given))
 
 
+def fill_table(sources: DataFrame, total: float | None) -> DataFrame:
+    """``water_fill`` over a table of any length: source, target_share, max_repeats, own_tokens, with
+    ``clamped`` and ``given``. Only sums of each pass come to the driver."""
+    ws = Workspace(sources.sparkSession, "filling")
+    reach = F.col("own_tokens") * F.col("max_repeats")
+    rows = ws.table(sources.withColumns({"clamped": F.lit(0), "given": F.lit(0.0)}), "pass-0")
+    n = 0
+    while True:
+        n += 1
+        open_ = F.col("clamped") == 0
+        s = rows.agg(
+            F.sum("own_tokens"), F.sum(F.when(~open_, F.col("given"))), F.sum(F.when(open_, F.col("target_share"))), F.count(F.when(~open_, 1))
+        ).first()
+        room = max((float(s[0] or 0) if total is None else total) - (s[1] or 0.0), 0.0)
+        weight = s[2] or 0.0
+        scale = 1.0 if n == 1 and abs(weight - 1) < 1e-9 else 1 / weight if weight > 0 else 0.0
+        part = F.lit(room) * (F.col("target_share") * scale)
+        over = open_ & (part > reach)
+        rows = ws.table(
+            rows.select(
+                "source", "target_share", "max_repeats", "own_tokens",
+                F.when(over, reach.cast("double")).when(open_, part).otherwise(F.col("given")).alias("given"),
+                F.when(over, F.lit(n)).otherwise(F.col("clamped")).alias("clamped"),
+            ),
+            f"pass-{n}",
+        )
+        if rows.where("clamped > 0").count() == s[3]:
+            return rows
+
+
 def sized(documents: DataFrame, key: Column, source: Column, text: Column, tokenizer: str = TOKENIZER) -> DataFrame:
     """``key, source, tokens`` of each row; the source in its one spelling."""
     return documents.select(
@@ -92,35 +131,39 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
 
     ``sizes``: source (one spelling), tokens. ``targets``: source, target_share, max_repeats.
     ``total`` is the size of the mix; by default all tokens of the listed sources, each once.
-    ``short``: the source at its cap is below its share of the total. ``repeats`` says how
-    often each of its documents is taken on average. A source without documents has 0 tokens
-    and is clamped at 0. Null sizes count 0; null shares and caps count 0; documents of null
-    or unlisted sources take no part; targets of a null source are left out; several targets
-    of one source raise ValueError.
+    ``short``: the first pass of the filling clamps the source, as its share is beyond its cap.
+    ``repeats`` says how often each of its documents is taken on average. A source without
+    documents has 0 tokens and is clamped at 0. Null sizes count 0; null shares and caps count
+    0; documents of null or unlisted sources take no part; targets of a null source are left
+    out; several targets of one source raise ValueError. More than ``MAX_SOURCES`` targets are
+    filled as a table instead of on the driver, with the same result.
     """
-    rows = targets.select(
-        "source", F.coalesce("target_share", F.lit(0.0)), F.coalesce("max_repeats", F.lit(0)), source_key(F.col("source"))
-    ).where(F.col("source").isNotNull()).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} targets")
-    if len({r[3] for r in rows}) < len(rows):
+    named = targets.where(F.col("source").isNotNull()).select(
+        "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"),
+        source_key(F.col("source")).alias("spelled"),
+    )
+    rows = named.limit(MAX_SOURCES + 1).collect()
+    many = len(rows) > MAX_SOURCES
+    if named.groupBy("spelled").count().where("count > 1").limit(1).count() if many else len({r[3] for r in rows}) < len(rows):
         raise ValueError("a source has several targets")
     spark = sizes.sparkSession
-    listed = spark.createDataFrame([(r[3],) for r in rows], "source string")
-    counted = {
-        r[0]: int(r[1] or 0)
-        for r in sizes.join(F.broadcast(listed), "source", "left_semi")
-        .groupBy("source")
-        .agg(F.sum(F.coalesce("tokens", F.lit(0))))
-        .collect()
-    }
-    own = [counted.get(r[3], 0) for r in rows]
+    listed = named.select(F.col("spelled").alias("source")) if many else F.broadcast(spark.createDataFrame([(r[3],) for r in rows], "source string"))
+    counted = sizes.join(listed, "source", "left_semi").groupBy("source").agg(F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))
+    if many:
+        sources = named.join(counted.withColumnsRenamed({"source": "spelled"}), "spelled", "left").select(
+            "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).cast("long").alias("own_tokens")
+        )
+        filled = fill_table(sources, total)
+        repeats = F.when(F.col("own_tokens") > 0, F.col("given") / F.col("own_tokens")).otherwise(0.0)
+        return filled.select(
+            "source", "target_share", F.col("max_repeats").cast("int").alias("max_repeats"), "own_tokens", (F.col("clamped") == 1).alias("short"),
+            (F.col("clamped") > 0).alias("clamped"), repeats.alias("repeats"), F.col("given").alias("planned_tokens"),
+        )
+    held = {r[0]: int(r[1] or 0) for r in counted.collect()}
+    own = [held.get(r[3], 0) for r in rows]
     whole = float(sum(own)) if total is None else float(total)
     filled = water_fill(own, [r[1] for r in rows], [r[2] for r in rows], whole)
-    out = [
-        (r[0], r[1], r[2], o, o * r[2] < r[1] * whole, c, g / o if o else 0.0, g)
-        for r, o, (c, g) in zip(rows, own, filled)
-    ]
+    out = [(r[0], r[1], r[2], o, c == 1, c > 0, g / o if o else 0.0, g) for r, o, (c, g) in zip(rows, own, filled)]
     return spark.createDataFrame(out, PLAN)
 
 
@@ -128,13 +171,21 @@ def draw_mix(sizes: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """``key, source, tokens, copy``: each document as often as its source is repeated.
 
     A source repeated 2.3 times gives every document twice, and a third time those whose
-    seeded hash falls into the first 0.3. The plan is bounded by ``MAX_SOURCES`` rows.
+    seeded hash falls into the first 0.3. A plan of more than ``MAX_SOURCES`` rows is joined
+    over salts, so that a source of any size is spread.
     """
     rates = plan.select(source_key(F.col("source")).alias("source"), "repeats")
+    on = ["source"]
+    if plan.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        on = ["source", "salt"]
+        rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sizes = sizes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    else:
+        rates = F.broadcast(rates)
     unit = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) / float(1 << 30)
     whole = F.floor("repeats")
     times = (whole + F.when(unit < F.col("repeats") - whole, 1).otherwise(0)).cast("int")
-    drawn = sizes.join(F.broadcast(rates), "source").withColumn("times", times).where(F.col("times") > 0)
+    drawn = sizes.join(rates, on).withColumn("times", times).where(F.col("times") > 0)
     return drawn.select("key", "source", "tokens", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
 
 

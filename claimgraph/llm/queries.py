@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.ids import norm_id
 from claimgraph.llm.leakage import leaked_spans
-from claimgraph.llm.mixture import mixture, plan_mix, sized
+from claimgraph.llm.mixture import mixture, plan_mix, sized, source_key
 from claimgraph.llm.neighbours import Index, exploded, nearest, similar_keys
 from claimgraph.llm.reading import reading_levels
 from claimgraph.llm.split import split
@@ -37,6 +37,21 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(texts, F.col("record_id"), F.col("text"), table(spark, sf_dir, "window_plans"))
 
 
+def p1_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each plan and text: the tokens that its pieces cover, whether none is beyond the limit, and whether
+    each begins ``overlap_tokens`` before the end of the one before."""
+    plans = table(spark, sf_dir, "window_plans")
+    w = Window.partitionBy("plan_id", "key").orderBy("piece")
+    pieces = p1_pieces(spark, sf_dir).withColumn("before", F.lag("end_token").over(w)).join(F.broadcast(plans), "plan_id")
+    shared = F.col("before") - F.col("first_token")
+    within = F.coalesce(F.col("end_token") - F.col("first_token") <= F.col("window_tokens"), F.lit(True))
+    return pieces.groupBy("plan_id", F.col("key").alias("record_id")).agg(
+        (F.sum(F.col("end_token") - F.col("first_token")) - F.coalesce(F.sum(shared), F.lit(0))).alias("tokens"),
+        F.min(within).alias("within"), F.min(F.coalesce(shared == F.coalesce("overlap_tokens", F.lit(0)), F.lit(True))).alias("overlapping"),
+        (F.max("pieces") == F.count("*")).alias("whole"),
+    )
+
+
 def term_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries of one record have one text; the operator takes each item once."""
     records = table(spark, sf_dir, "ledger_records")
@@ -125,6 +140,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report
 
 
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each listed source: its documents, and whether copies of each keep to the cap and differ by one at most."""
+    targets = table(spark, sf_dir, "mix_targets").select(source_key(F.col("source")).alias("source"), "max_repeats")
+    documents = table(spark, sf_dir, "documents").select(source_key(F.col("source")).alias("source"), "doc_id")
+    mix = p7_mix(spark, sf_dir).groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last"))
+    each = documents.join(F.broadcast(targets), "source").join(mix, ["source", "doc_id"], "left").fillna(0, ["n", "last"])
+    return each.groupBy("source").agg(
+        F.count("*").alias("documents"), (F.max("n") <= F.max("max_repeats")).alias("within_cap"),
+        (F.max("n") - F.min("n") <= 1).alias("even"), F.min(F.col("n") == F.col("last")).alias("numbered"),
+    )
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "reading_labels").select(F.col("doc_id").alias("key"), "band")
     return reading_levels(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), labels)
@@ -141,6 +168,7 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_cover": p1_cover,
     "p3_found": p3_found,
     "p3_top_terms": p3_top_terms,
     "p3_best_terms": p3_best_terms,
@@ -152,6 +180,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_copies": p7_copies,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
 }
@@ -185,7 +214,21 @@ VECTORS = f"""
         AND NOT list_contains(list_transform(v, lambda c: c IS NULL OR isnan(c) OR isinf(c)), true)
         AND list_contains(list_transform(v, lambda c: c <> 0), true))"""
 
+SPELLED = "regexp_replace(regexp_replace(lower({0}), '[\\s_\\-\\x{{a0}}]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
 SQL = {
+    "p1_cover": f"""
+      WITH texts AS (SELECT DISTINCT {ID.format('record_id')} AS record_id,
+          len(regexp_extract_all(text, '{NOT_WHITE}')) AS n FROM ledger_records)
+      SELECT plan_id, record_id, n AS tokens, true AS within, true AS overlapping, true AS whole FROM texts, window_plans WHERE n > 0""",
+    # Any way to count tokens gives the same sources: here they are words.
+    "p7_found": f"""
+      WITH size AS (SELECT {SPELLED.format('source')} AS s, sum(len(regexp_extract_all(text, '\\S+'))) AS n FROM documents GROUP BY 1
+      ), own AS (SELECT t.*, coalesce(n, 0) AS n FROM mix_targets t LEFT JOIN size ON s = {SPELLED.format('t.source')})
+      SELECT source FROM own WHERE n * max_repeats < target_share * (SELECT sum(n) FROM own)""",
+    "p7_copies": f"""
+      SELECT {SPELLED.format('t.source')} AS source, count(*) AS documents, true AS within_cap, true AS even, true AS numbered
+      FROM mix_targets t JOIN documents d ON {SPELLED.format('t.source')} = {SPELLED.format('d.source')} GROUP BY 1""",
     "p5_found": VECTORS + """ SELECT DISTINCT a.id AS record_id_a, b.id AS record_id_b FROM u a JOIN u b ON a.model_id = b.model_id
       AND len(a.v) = len(b.v) AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
     "p1_found": f"""

@@ -8,8 +8,10 @@ a valley, a change of topic; within the room of each piece the deepest valley is
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import sqrt
 
 import pandas as pd
@@ -24,7 +26,9 @@ ENDS = re.compile(r"[.!?…。！？][\"'”’»)\]*_`]*$")
 PAUSES = re.compile(r"[,;:–—][\"'”’»)\]*_`]*$")
 #: Words on either side of a boundary that are compared.
 BLOCK = 24
-#: Most plans that one call takes; they are sent to every task.
+#: Part of a window in whose end the deepest valley is looked for; the rest keeps pieces from being short.
+SEARCHED = 0.5
+#: Plans that go to the tasks at once; more take another pass over the texts.
 MAX_PLANS = 10_000
 
 PIECES = "plan_id int, key string, piece int, pieces int, first_token int, end_token int, first_char int, end_char int"
@@ -55,8 +59,8 @@ class Text:
         self.text, self.known = text, {}
         self.words = [text[a:b].strip(".,;:!?…\"'()[]*_`").lower() for a, b in self.spans]
 
-    def gaps(self, kind: int) -> list[tuple[int, float]]:
-        """(gap, depth): 0 ends of sentences and lines, 1 other pauses, 2 every gap."""
+    def gaps(self, kind: int) -> tuple[list[int], list[float]]:
+        """Gaps in order and their depths: 0 ends of sentences and lines, 1 other pauses, 2 every gap."""
         if kind not in self.known:
             t, s = self.text, self.spans
             at = range(1, len(s))
@@ -66,28 +70,30 @@ class Text:
                 ]
             elif kind == 1:
                 at = [i for i in at if PAUSES.search(t[s[i - 1][0] : s[i - 1][1]])]
-            self.known[kind] = list(zip(at, depths(self.words, list(at))))
+            self.known[kind] = list(at), depths(self.words, list(at))
         return self.known[kind]
 
 
-def cuts(text: Text, limit: int, overlap: int) -> list[tuple[int, int]]:
+def cuts(text: Text, limit: int, overlap: int, searched: float = SEARCHED) -> list[tuple[int, int]]:
     """Token ranges of the pieces; each but the first begins ``overlap`` tokens before the last one's end."""
     n, start, pieces = len(text.spans), 0, []
     while n - start > limit:
-        # Half of the room at least, and more than the overlap, so that every piece brings something new.
-        least, most = start + max(overlap + 1, (limit + overlap + 1) // 2), start + limit
+        # More than the overlap in any case, so that every piece brings something new.
+        least, most = start + max(overlap + 1, overlap + int((limit - overlap) * (1 - searched) + 0.5)), start + limit
+        end = most
         for kind in (0, 1, 2):
-            inside = [(d, g) for g, d in text.gaps(kind) if least <= g <= most]
-            if inside:
+            gaps, depth = text.gaps(kind)
+            a, b = bisect_left(gaps, least), bisect_right(gaps, most)
+            if a < b:
+                end = max(zip(depth[a:b], gaps[a:b]))[1]
                 break
-        end = max(inside)[1] if inside else most
         pieces.append((start, end))
         start = end - overlap
     return [*pieces, (start, n)] if n else []
 
 
 def split(
-    items: DataFrame, key: Column, text: Column, plans: DataFrame, oversized_only: bool = False
+    items: DataFrame, key: Column, text: Column, plans: DataFrame, oversized_only: bool = False, searched: float = SEARCHED
 ) -> DataFrame:
     """The pieces of each text under each plan: ``plan_id, key, piece, pieces, first_token,
     end_token, first_char, end_char`` (ends are exclusive; characters are code points).
@@ -97,11 +103,17 @@ def split(
     below the limit raises ValueError. Null texts and texts without tokens give no piece;
     texts within the limit give one, unless ``oversized_only``. A token is never cut, however
     long. Repeated rows give repeated pieces; a null key stays null. Other columns of
-    ``items`` are ignored.
+    ``items`` are ignored. The deepest valley is taken from the last ``searched`` of each window.
+    More than ``MAX_PLANS`` plans are worked off in groups.
     """
-    known = plans.select("plan_id", "window_tokens", "overlap_tokens").distinct().limit(MAX_PLANS + 1).collect()
-    if len(known) > MAX_PLANS:
-        raise ValueError(f"more than {MAX_PLANS} plans")
+    plans = plans.select("plan_id", "window_tokens", "overlap_tokens").distinct()
+    size = plans.count()
+    if size > MAX_PLANS:
+        groups = -(-2 * size // MAX_PLANS)
+        group = F.pmod(F.xxhash64("plan_id", "window_tokens", "overlap_tokens"), F.lit(groups))
+        parts = [split(items, key, text, plans.where(group == g), oversized_only, searched) for g in range(groups)]
+        return reduce(DataFrame.unionByName, parts)
+    known = plans.collect()
     listed = [(r[0], r[1], r[2] or 0) for r in known if not (oversized_only and r[1] is None)]
     for plan, limit, overlap in listed:
         if limit is not None and not 0 <= overlap < max(limit, 1) or limit is not None and limit < 1:
@@ -122,7 +134,7 @@ def split(
                 for plan, limit, overlap in listed:
                     if not n or oversized_only and n <= limit:
                         continue
-                    found = cuts(whole, limit or n, overlap)
+                    found = cuts(whole, limit or n, overlap, searched)
                     for i, (a, b) in enumerate(found):
                         out.append((plan, k, i, len(found), a, b, whole.spans[a][0], whole.spans[b - 1][1]))
             yield pd.DataFrame(out, columns=names).astype({"key": object})

@@ -345,3 +345,31 @@ def test_levels_of_routers(spark, monkeypatch):
     want = brute(rows, 0.95)
     assert found[0] == found[1] and not found[0] - want and len(want - found[0]) <= 0.02 * len(want)
     assert sum(a[0] == "c" == b[0] for a, b in found[0]) == 60 * 59 // 2
+
+
+def test_beyond_what_is_sent_at_once(spark, monkeypatch):
+    """Plans, items, targets and familiar words above the bounds of one pass give the same results."""
+    text = " ".join(f"w{i % 17}{'.' if i % 9 == 0 else ''}" for i in range(60))
+    plans = [(i, 8 + i, i % 5) for i in range(12)]
+    items = spark.createDataFrame([(str(i), "q", " ".join(text.split()[i : i + 6])) for i in range(20)], "item string, field string, text string")
+    docs = spark.createDataFrame([("a", text), ("b", text[20:])], "key string, text string")
+    sizes = spark.createDataFrame([(i, f"s{i % 7}", 5 + i % 11) for i in range(300)], "key long, source string, tokens long")
+    targets = spark.createDataFrame([(f"s{i}", (0.4, 0.2, 0.1, 0.1, 0.1, 0.1, 0.0)[i], 1 + i % 3) for i in range(7)], TARGET)
+    rows = corpus(random.Random(3), 60)
+    read = spark.createDataFrame([r[:2] for r in rows], "key long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "key long, band int")
+
+    def results():
+        plan = mixture.plan_mix(sizes, targets)
+        return [
+            sorted(pieces(spark, [text, text[:40]], plans)),
+            sorted(leakage.leaked_spans(docs, F.col("key"), F.col("text"), items, run=4).collect()),
+            sorted((r["source"], r["short"], r["clamped"], round(r["repeats"], 9)) for r in plan.collect()),
+            sorted(mixture.draw_mix(sizes, plan).collect()),
+            sorted(reading.reading_levels(read, F.col("key"), F.col("text"), labels).collect()),
+        ]
+
+    at_once = results()
+    for module, name, value in ((split, "MAX_PLANS", 3), (leakage, "MAX_ITEM_BYTES", 90), (mixture, "MAX_SOURCES", 2), (reading, "MAX_WORDS", 5)):
+        monkeypatch.setattr(module, name, value)
+    assert results() == at_once and all(at_once)
