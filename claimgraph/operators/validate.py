@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.ids import norm_id
 from claimgraph.schema import ENVELOPE_VERSION, LEGAL, opening_state
 
 
@@ -101,6 +102,20 @@ def illegal_transitions(records: DataFrame, effects: DataFrame) -> DataFrame:
     return _found(bad, "illegal_transition", "target_id", F.concat_ws(" ", F.coalesce("came", F.lit("nothing")), F.lit("->"), "verb"))
 
 
+def unpromoted_answers(effects: DataFrame) -> DataFrame:
+    """Answers whose claim (``reason``) was not promoted at their place in the log."""
+    given = effects.where("action = 'answer'").select("seq", "ordinal", "target_id", norm_id(F.col("reason")).alias("claim"))
+    moves = effects.select(F.col("target_id").alias("claim"), F.struct("seq", "ordinal").alias("at"), "new_state")
+    earlier = given.join(moves.where(F.col("claim").isNotNull()), "claim", "left").withColumn(
+        "came", F.when(F.col("at") < F.struct("seq", "ordinal"), F.col("new_state"))
+    )
+    held = earlier.groupBy("seq", "ordinal", "target_id", "claim").agg(
+        F.max_by("came", F.when(F.col("came").isNotNull(), F.col("at"))).alias("came")
+    )
+    bad = held.where(~F.col("came").eqNullSafe(F.lit("promoted")))
+    return _found(bad, "unpromoted_answer", "target_id", F.concat_ws(" ", F.coalesce("claim", F.lit("nothing")), F.coalesce("came", F.lit("never moved"))))
+
+
 def unreceipted_redactions(records: DataFrame) -> DataFrame:
     """Redaction marks whose declaration is not in the log."""
     known = records.where(F.col("kind") == "redaction").select(F.col("record_id").alias("receipt"))
@@ -118,6 +133,6 @@ def violations(records: DataFrame, effects: DataFrame, entities: DataFrame) -> D
         dangling(refs, "record_id", "ref", ents, "known", "dangling_ref"),
         dangling(records, "record_id", "object_id", ents, "known", "dangling_object"),
         bad_evidence(records, entities), unknown_version(records), blank_text(records), agent_verdicts(effects),
-        illegal_transitions(records, effects), unreceipted_redactions(records),
+        illegal_transitions(records, effects), unpromoted_answers(effects), unreceipted_redactions(records),
     ]
     return reduce(DataFrame.unionByName, parts)

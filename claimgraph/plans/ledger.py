@@ -52,7 +52,9 @@ def effects(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = rows.where((F.col("op") == "update") & F.col("target_id").isNotNull())
     rows = rows.withColumn("state", F.coalesce("state", action_state(F.col("action"), F.col("target_id"))))
+    # An answer's reason is its claim.
     reason = F.regexp_extract("action", r"\((\w+)\)\s*$", 1)
+    claim = F.regexp_extract("action", r"(?i)^\s*answer\s+\S+\s+with\s+(\S+)", 1)
     basis = F.regexp_extract("action", r"(?i)on the basis of (\w+)", 1)
     none = lambda c: F.when(c != "", c)
     same = ["target_id", "verdict_id", "recorded_at"]
@@ -61,7 +63,7 @@ def effects(spark: SparkSession, d: str) -> DataFrame:
     changes = rows.groupBy("seq", *loose).agg(
         F.max("verdict_id").alias("verdict_id"), F.max("recorded_at").alias("recorded_at"),
         F.max("target_id").alias("target_id"), F.max(F.lower(F.regexp_extract("action", r"^\s*(\w+)", 1))).alias("action"),
-        F.max("state").alias("new_state"), F.max(none(reason)).alias("reason"), F.max(none(basis)).alias("basis"),
+        F.max("state").alias("new_state"), F.max(F.coalesce(none(claim), none(reason))).alias("reason"), F.max(none(basis)).alias("basis"),
         F.max("author_kind").alias("author_kind"),
     )
     # One shuffle: what follows groups and orders within a record.
@@ -105,7 +107,7 @@ def sql_id(c: str, p: str = "rec") -> str:
 LABEL = "nullif(lower(trim({0}, ' \t\r\n')), '')"
 
 #: The same tables in SQL, for the checks; ``pos`` orders a record's changes.
-WITH = f"""
+WITH = rf"""
 WITH ent AS (SELECT DISTINCT {sql_id('entity_id', 'ent')} AS entity_id, {LABEL.format('kind')} AS kind,
     {LABEL.format('label')} AS label, redacted_by FROM entities
 ), rec AS (SELECT DISTINCT seq, {sql_id('record_id')} AS record_id, kind, shape, author_name,
@@ -119,17 +121,18 @@ WITH ent AS (SELECT DISTINCT {sql_id('entity_id', 'ent')} AS entity_id, {LABEL.f
 ), eff1 AS (SELECT seq, max(verdict_id) AS verdict_id, max(recorded_at) AS recorded_at, max(target_id) AS target_id,
     max(action) AS action, max(coalesce(state, CASE WHEN action = 'promote' AND contains(upper(said), 'RETIRING ' || upper(target_id))
       THEN 'retired' ELSE MAP {{'promote': 'promoted', 'retire': 'retired', 'reject': 'rejected', 'answer': 'answered',
-      'withdraw': 'withdrawn', 'abandon': 'abandoned', 'score': 'scored'}}[action] END)) AS new_state, max(author_kind) AS author_kind
+      'withdraw': 'withdrawn', 'abandon': 'abandoned', 'score': 'scored'}}[action] END)) AS new_state, max(author_kind) AS author_kind,
+      max(nullif(regexp_extract(said, '(?i)^\s*answer\s+\S+\s+with\s+(\S+)', 1), '')) AS said_claim
     FROM eff0 GROUP BY seq, CASE WHEN seq IS NULL THEN concat_ws('/', target_id, verdict_id, epoch_us(recorded_at)) END
 ), own AS (SELECT l.* FROM eff1 l WHERE l.seq IS NULL AND NOT EXISTS (SELECT 1 FROM eff1 n WHERE n.seq IS NOT NULL
     AND n.target_id = l.target_id AND n.verdict_id = l.verdict_id AND n.recorded_at = l.recorded_at)
 ), placed AS (SELECT l.target_id, l.verdict_id, l.recorded_at, any_value(l.action) AS action, any_value(l.new_state) AS new_state,
-    any_value(l.author_kind) AS author_kind, max(n.seq) AS seq FROM own l LEFT JOIN eff1 n ON n.target_id = l.target_id
+    any_value(l.author_kind) AS author_kind, any_value(l.said_claim) AS said_claim, max(n.seq) AS seq FROM own l LEFT JOIN eff1 n ON n.target_id = l.target_id
     AND n.recorded_at <= l.recorded_at GROUP BY 1, 2, 3
 ), eff AS (SELECT *, coalesce(seq, -1) * 1000000 + nth AS pos FROM (
-    SELECT seq, 0 AS nth, verdict_id, recorded_at, target_id, action, new_state, author_kind FROM eff1 WHERE seq IS NOT NULL
+    SELECT seq, 0 AS nth, verdict_id, recorded_at, target_id, action, new_state, author_kind, said_claim FROM eff1 WHERE seq IS NOT NULL
     UNION ALL SELECT seq, row_number() OVER (PARTITION BY target_id, seq ORDER BY recorded_at, verdict_id), verdict_id, recorded_at,
-      target_id, action, new_state, author_kind FROM placed)
+      target_id, action, new_state, author_kind, said_claim FROM placed)
 ), last AS (SELECT target_id AS record_id, arg_max(new_state, pos) AS state FROM eff GROUP BY 1
 ), st AS (SELECT r.*, coalesce(l.state, CASE kind WHEN 'claim' THEN 'proposed' ELSE 'registered' END) AS state
     FROM rec r LEFT JOIN last l USING (record_id)

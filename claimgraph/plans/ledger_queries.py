@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.operators import graph, state, validate, views
 from claimgraph.plans import ledger as L
-from claimgraph.plans.ledger import WITH
+from claimgraph.plans.ledger import WITH, sql_id
 from claimgraph.plans.tables import table
 
 #: A moment within the ledger, one behind it.
@@ -192,6 +192,9 @@ SQL = {
           OR (verb = 'withdraw' AND kind = 'gap' AND came = 'registered' AND new_state = 'withdrawn')
           OR (verb = 'score' AND kind = 'hypothesis' AND came = 'registered' AND new_state = 'scored')
           OR (verb = 'abandon' AND kind = 'hypothesis' AND came = 'registered' AND new_state = 'abandoned'), false)"""),
+        RULE.format("unpromoted_answer", "target_id", "coalesce(claim, 'nothing') || ' ' || coalesce(came, 'never moved')", f"""(SELECT a.target_id, a.claim,
+          arg_max(c.new_state, c.pos) AS came FROM (SELECT *, {sql_id('said_claim')} AS claim FROM eff WHERE action = 'answer') a LEFT JOIN eff c
+          ON c.target_id = a.claim AND c.pos < a.pos GROUP BY a.target_id, a.claim, a.pos) WHERE came IS DISTINCT FROM 'promoted'"""),
         RULE.format("unreceipted_redaction", "record_id", "NULL", "rec WHERE redacted_by IS NOT NULL AND redacted_by NOT IN (SELECT record_id FROM rec WHERE kind = 'redaction')"),
       ]),
     "view_promoted": V + " SELECT record_id, state FROM v",

@@ -17,23 +17,31 @@ def _git(root: str, *args: str) -> str | None:
     return done.stdout if done.returncode == 0 else None
 
 
+#: Characters of a commit in an attestation.
+SHORT = 7
+#: git's signature marks that vouch for something. A good signature by a key that this
+#: machine does not trust is not the same answer as one it does; all other marks vouch for nothing.
+VOUCHES = {"G": "signed", "U": "unknown-key"}
+
+
+def attested(commit: str, status: str, key: str, signer: str, author: str) -> str:
+    """An attestation from git's fields of a commit. The stored forms."""
+    short, kind = commit[:SHORT], VOUCHES.get(status.strip())
+    if kind is None:
+        return f"attest:unsigned commit:{short} by:{author.strip()}"
+    return f"attest:{kind} commit:{short} key:{key.strip()} signer:{signer.partition('<')[0].strip()}"
+
+
 def verify(root: str, commits: list[str]) -> dict[str, str]:
-    """The attestation of each commit that the repository has."""
+    """The attestation of each commit that the repository has, by its full and its short name."""
     wanted = sorted({c for c in commits if c})
     if not wanted:
         return {}
     form = "%H%x1f%G?%x1f%GK%x1f%GS%x1f%an"
     out = _git(root, "log", "--no-walk=unsorted", "--ignore-missing", f"--format={form}", *wanted)
-    found = {}
-    for row in (out or "").splitlines():
-        commit, status, key, signer, author = row.split("\x1f")
-        if status in ("G", "U") and key and signer:
-            found[commit] = f"attest:signed commit:{commit} key:{key} signer:{signer}"
-        elif status != "N" and key:
-            found[commit] = f"attest:unknown-key commit:{commit} key:{key} signer:{signer or 'unknown'}"
-        else:
-            found[commit] = f"attest:unsigned commit:{commit} by:{author}"
-    return found
+    rows = [r.split("\x1f") for r in (out or "").splitlines()]
+    found = {r[0]: attested(*r) for r in rows if len(r) == 5}
+    return found | {c[:SHORT]: told for c, told in found.items()}
 
 
 def blame(spark: SparkSession, root: str, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimgraph.functions.display import describe_action, display_text, shown_id
 from claimgraph.schema import ENVELOPE_VERSION
 
 _MARK = "struct<by:string,fingerprint:string>"
@@ -66,11 +67,6 @@ def parse_events(lines: DataFrame, check: bool = True) -> DataFrame:
     return e.where(~bad).drop("_bad")
 
 
-def shown_id(c: Column, prefix: str = "rec") -> Column:
-    """On the wire ids are bare, elsewhere they carry their prefix."""
-    return F.when(c.isNotNull() & ~c.startswith(f"{prefix}_"), F.concat(F.lit(f"{prefix}_"), c)).otherwise(c)
-
-
 def _ids(c: Column, prefix: str) -> Column:
     return F.transform(c, lambda x: shown_id(x, prefix))
 
@@ -134,6 +130,25 @@ def records(events: DataFrame) -> DataFrame:
     )
 
 
+def shown_texts(events: DataFrame) -> DataFrame:
+    """``record_id, shown``: each record's text as a reader sees it."""
+    r = events.where("event = 'record' AND content.Verdict IS NULL")
+    pattern = r.select(shown_id(F.col("id")).alias("record_id"), F.col("content.Claim.Pattern").alias("p"))
+    return records(events).select("record_id", "text").join(pattern, "record_id").select(
+        "record_id", display_text(F.col("p"), F.col("text")).alias("shown")
+    )
+
+
+def verdicts(events: DataFrame) -> DataFrame:
+    """``seq, verdict_id, action, author, author_kind, at, rationale`` of each verdict, its action in words."""
+    v = events.where("event = 'record' AND content.Verdict IS NOT NULL")
+    return v.select(
+        "seq", shown_id(F.col("id")).alias("verdict_id"), describe_action(F.col("content.Verdict.action")).alias("action"),
+        F.col("author.name").alias("author"), F.lower("author.kind").alias("author_kind"), F.col("recorded_at").cast("timestamp").alias("at"),
+        F.col("content.Verdict.rationale").alias("rationale"),
+    )
+
+
 def effects(events: DataFrame) -> DataFrame:
     """What each verdict does, one row for each record it moves: the one definition of that."""
     a = F.col("content.Verdict.action")
