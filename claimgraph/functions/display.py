@@ -43,6 +43,6 @@ def state_label(state: Column) -> Column:
 def display_text(pattern: Column, text: Column) -> Column:
     """What a reader sees: of a pattern its solution first, then what it rests on; else the indexed text."""
     part = lambda title, c: F.when(F.length(c) > 0, F.concat(F.lit(f"\n\n{title}: "), c)).otherwise("")
-    forces = F.array_join(F.transform(pattern["forces"], F.trim), "; ")
+    forces = F.array_join(F.transform(pattern["forces"], lambda f: F.trim(f)), "; ")
     laid_out = F.concat(F.trim(pattern["solution"]), part("Context", F.trim(pattern["context"])), part("Forces", forces))
     return F.when(pattern.isNotNull(), laid_out).otherwise(text)

@@ -6,6 +6,8 @@ of a step does not hold those before it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -92,14 +94,18 @@ def edge_costs(edges: DataFrame, panel: DataFrame | None, name: str, transform:
     return rows.where(F.col("cost").isNotNull()).select("seq", "record_id", "subject", "predicate", "object_id", "cost")
 
 
-def shortest_paths(costs: DataFrame, sources: DataFrame, targets: DataFrame | None = None, max_steps: int = 10_000) -> DataFrame:
+#: Steps after which the tables of the best ways so far are put together into one.
+COMPACT = 8
+
+
+def shortest_paths(costs: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """``source, entity, cost, path``: the cheapest path from each source to each entity, as edges.
 
     ``costs``: record_id, subject, object_id, cost; ``sources``: source; ``targets``: source,
     target, if only those are wanted; ways that already cost more than all of a source's targets are
     then given up. A source reaches itself by the empty path at cost 0. Equal costs: fewer edges,
     then the smaller ids. A cost that is negative, infinite or no number raises ValueError if a
-    search meets it.
+    search meets it. The search goes on until no way gets cheaper; a step writes only what did.
     """
     spark = costs.sparkSession
     ws = Workspace(spark, "paths")
@@ -109,32 +115,41 @@ def shortest_paths(costs: DataFrame, sources: DataFrame, targets: DataFrame | No
     zero = sources.select("source").distinct().select(
         "source", F.col("source").alias("entity"), F.lit(0.0).alias("cost"), F.array().cast("array<string>").alias("path")
     )
-    best = frontier = ws.table(zero, "best-0")
+    frontier = ws.table(zero, "best-0")
+    layers, n = [frontier], 0
     bad = ~(F.col("step") >= 0) | F.isnan("step") | (F.col("step") == float("inf"))
-    for n in range(1, max_steps + 1):
+    order = F.struct("cost", F.size("path"), "path")
+
+    def best() -> DataFrame:
+        # Of the ways to a pair that stand in several layers the last is the cheapest.
+        found = reduce(DataFrame.unionByName, layers).groupBy("source", "entity").agg(F.min_by(F.struct("cost", "path"), order).alias("g"))
+        return found.select("source", "entity", "g.*")
+
+    while True:
+        n += 1
         seen = Observation()
         grown = frontier.join(ways.withColumnRenamed("cost", "step"), "entity").select(
             "source", F.col("other").alias("entity"), "step", (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("edge")).alias("path")
         )
         grown = grown.observe(seen, F.count(F.when(bad, 1)).alias("bad"))
-        order = F.struct("cost", F.size("path"), "path")
         grown = grown.groupBy("source", "entity").agg(F.min_by(F.struct("cost", "path"), order).alias("g"))
         grown = grown.select("source", "entity", "g.*")
-        old = best.select("source", "entity", F.col("cost").alias("old"))
+        old = reduce(DataFrame.unionByName, [x.select("source", "entity", "cost") for x in layers])
+        old = old.groupBy("source", "entity").agg(F.min("cost").alias("old"))
         better = grown.join(old, ["source", "entity"], "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old")))
         if wanted is not None:
-            limit = wanted.join(best.select("source", F.col("entity").alias("target"), "cost"), ["source", "target"], "left")
-            limit = limit.groupBy("source").agg(F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("limit"))
+            limit = wanted.join(old.select("source", F.col("entity").alias("target"), "old"), ["source", "target"], "left")
+            limit = limit.groupBy("source").agg(F.when(F.count("old") == F.count("*"), F.max("old")).alias("limit"))
             better = better.join(limit, "source", "left").where(F.col("limit").isNull() | (F.col("cost") < F.col("limit"))).drop("limit")
         frontier = ws.table(better.drop("old"), f"frontier-{n}")
         if seen.get["bad"]:
             raise ValueError("an edge's cost is negative, infinite or no number")
         if frontier.isEmpty():
             break
-        kept = best.join(frontier.select("source", "entity"), ["source", "entity"], "left_anti")
-        best = ws.table(kept.unionByName(frontier), f"best-{n}")
-        if n > 1:
-            ws.drop(f"best-{n - 1}")
+        layers.append(frontier)
+        if len(layers) > COMPACT:
+            layers = [ws.table(best(), f"best-{n}")]
     if wanted is None:
-        return best
-    return wanted.join(best, (best["source"] == wanted["source"]) & (F.col("entity") == F.col("target"))).select(best["source"], "entity", "cost", "path")
+        return best()
+    found = best()
+    return wanted.join(found, (found["source"] == wanted["source"]) & (F.col("entity") == F.col("target"))).select(found["source"], "entity", "cost", "path")

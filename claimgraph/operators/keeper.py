@@ -14,8 +14,8 @@ from claimgraph.sources.formats import mentioned_ids
 ANSWER_RANK = 3
 #: So many of a question's words in a row are a quotation.
 QUOTE_RUN = 5
-#: Questions that one call audits, at most; they are sent to every task.
-MAX_QUESTIONS = 100_000
+#: Rows of questions up to which they are broadcast; they are counted before.
+BROADCAST_QUESTIONS = 100_000
 #: Kinds of entities that a record can be anchored at.
 ANCHORS = ("decision", "unknown", "proposal")
 #: How much an attestation is worth.
@@ -157,7 +157,7 @@ def unattested_promotions(records: DataFrame, effects: DataFrame, details: DataF
     told = promoted_claims(records, effects).select("record_id").join(gave, "record_id").join(details, "verdict_id", "left")
     a = attestation(F.col("detail"))
     because = (
-        F.when(F.col("detail").isNull(), "the verdict makes no attestation at all")
+        F.when(F.col("detail").isNull(), "nobody vouched for the verdict")
         .when(a.isNull(), "the detail is no attestation")
         .when(a["kind"] != "signed", F.col("detail"))
     )
@@ -216,9 +216,7 @@ def scorecard(graded: DataFrame) -> DataFrame:
 
 
 def _few(questions: DataFrame) -> DataFrame:
-    if questions.limit(MAX_QUESTIONS + 1).count() > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions")
-    return F.broadcast(questions)
+    return F.broadcast(questions) if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS else questions
 
 
 def quoted_questions(questions: DataFrame, records: DataFrame, run: int = QUOTE_RUN) -> DataFrame:

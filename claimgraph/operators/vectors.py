@@ -6,15 +6,20 @@ are never compared: the model id is part of every key.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of questions that are compared at once; more raise ValueError, they go to every task.
-MAX_QUERIES = 50_000
+#: Numbers of all question vectors that are compared at once, as they go to every task; more questions
+#: take another pass over the documents.
+MAX_NUMBERS = 8_000_000
+#: Words whose features a task remembers.
+REMEMBERED = 200_000
 #: Questions on which the number of candidates is measured.
 SAMPLE = 64
 #: The hash that picks a feature's slot, and the seed of the one that picks its sign.
@@ -45,15 +50,20 @@ def model_id(dims: int = 256, grams: tuple[int, ...] = (3, 4)) -> str:
 
 def hash_embed(text: Column, dims: int = 256, grams: tuple[int, ...] = (3, 4)) -> Column:
     """Unit vectors of signed feature counts; all zero for a text without words, null for null."""
-    slots: dict[str, tuple[int, float]] = {}
-
-    def slot(feature: str) -> tuple[int, float]:
-        if feature not in slots:
-            if len(slots) > 500_000:
-                slots.clear()
-            data = feature.encode()
-            slots[feature] = fnv1a(data) % dims, 1.0 if fnv1a(data, SIGN_SEED) % 2 == 0 else -1.0
-        return slots[feature]
+    known: dict[str, np.ndarray] = {}
+
+    def of_word(word: str) -> np.ndarray:
+        """The signed slots of a word's features; a worker works each word out once."""
+        v = known.get(word)
+        if v is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            v = np.zeros(dims, np.float32)
+            for f in word_features(word, grams):
+                data = f.encode()
+                v[fnv1a(data) % dims] += 1.0 if fnv1a(data, SIGN_SEED) % 2 == 0 else -1.0
+            known[word] = v
+        return v
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
@@ -62,10 +72,10 @@ def hash_embed(text: Column, dims: int = 256, grams: tuple[int, ...] = (3, 4)) -
             if t is None:
                 out.append(None)
                 continue
+            words = Counter("".join(c if c.isalnum() else " " for c in t).split())
             v = np.zeros(dims)
-            for f in word_features(t, grams):
-                at, sign = slot(f)
-                v[at] += sign
+            for word, n in words.items():
+                v += n * of_word(word)
             norm = np.linalg.norm(v)
             out.append(v / norm if norm else v)
         return pd.Series(out)
@@ -94,9 +104,12 @@ def exact_similar(
     blocks with every row. With k, the k best; ties by key. A document in several rows counts
     with its best; say ``unique`` where there are none. Vectors of another length are similar to nothing.
     """
-    asked = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).toPandas()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} questions")
+    groups = -(-queries.count() * dims // MAX_NUMBERS)
+    if groups > 1:
+        group = F.pmod(F.xxhash64("query_id"), F.lit(groups))
+        parts = [exact_similar(documents, queries.where(group == g), dims, k, above, unique) for g in range(groups)]
+        return reduce(DataFrame.unionByName, parts)
+    asked = queries.select("query_id", "vector").toPandas()
     ids, q = asked["query_id"].to_numpy(), _matrix(asked["vector"], dims)
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *documents.schema]}
 

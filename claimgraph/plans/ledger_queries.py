@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from claimgraph.operators import graph, state, validate, views
 from claimgraph.plans import ledger as L
 from claimgraph.plans.ledger import WITH, sql_id
-from claimgraph.plans.tables import table
 
 #: A moment within the ledger, one behind it.
 AS_OF = datetime(2015, 2, 15)
@@ -76,6 +75,12 @@ def verdicts_by_day(s: SparkSession, d: str) -> DataFrame:
     return days.select(F.col("w.start").alias("day"), "action", "n")
 
 
+def tables_join(s: SparkSession, d: str) -> DataFrame:
+    """How many records are about entities of each kind."""
+    about = L.records(s, d).select("record_id", F.col("subject").alias("entity_id")).distinct()
+    return about.join(L.entities(s, d).select("entity_id", "kind").distinct(), "entity_id").groupBy("kind").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "state_now": _both(lambda r, e: state.with_state(r, e).select("record_id", "state")),
     "state_as_of": _both(state_at),
@@ -108,9 +113,7 @@ QUERIES = {
     "shortest_path_neglog": shortest_path_neglog,
     "states_cube": _both(states_cube),
     "verdicts_by_day": verdicts_by_day,
-    "tables_join": lambda s, d: table(s, d, "ledger_records").select("record_id", "about_key").distinct()
-    .join(table(s, d, "entities").select("entity_id", "kind").distinct(), F.col("about_key") == F.col("entity_id"))
-    .groupBy("kind").agg(F.count("*").alias("n")),
+    "tables_join": tables_join,
 }
 
 AT, ON = "TIMESTAMP '2015-02-15'", "TIMESTAMP '2026-01-01'"
@@ -225,6 +228,6 @@ SQL = {
     "states_cube": WITH + """ SELECT kind, author_kind, state, (4 * grouping(kind) + 2 * grouping(author_kind) + grouping(state))::INTEGER
       AS level, count(*) AS n FROM st GROUP BY CUBE (kind, author_kind, state)""",
     "verdicts_by_day": WITH + " SELECT date_trunc('day', recorded_at) AS day, action, count(*) AS n FROM eff GROUP BY 1, 2",
-    "tables_join": """SELECT kind, count(*) AS n FROM (SELECT DISTINCT record_id, about_key FROM ledger_records)
-      JOIN (SELECT DISTINCT entity_id, kind FROM entities) ON about_key = entity_id GROUP BY kind""",
+    "tables_join": WITH + """ SELECT kind, count(*) AS n FROM (SELECT DISTINCT record_id, subject FROM rec)
+      JOIN (SELECT DISTINCT entity_id, kind FROM ent) ON subject = entity_id GROUP BY kind""",
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import functions as F
 
@@ -36,11 +37,50 @@ def _date(text: str | None) -> datetime | None:
     return datetime(*map(int, found.groups()), tzinfo=UTC) if found else None
 
 
+#: Fixed value: the document that evidence means by "this file".
+THIS_FILE = "DECISIONS.md"
+
+
+def split_entry(entry: str) -> tuple[str, str | None]:
+    """Path and place of one entry of evidence; ``this file`` is the decisions themselves."""
+    if entry.startswith("this file"):
+        return THIS_FILE, entry[len("this file") :].lstrip(" —").strip() or None
+    path, _, span = entry.partition(" ")
+    return path, span.strip() or None
+
+
+def contained(path: str, root: str) -> str | None:
+    """The path below ``root``, of ``docs`` or else of the root itself; None if it is nowhere, or leads out.
+
+    Paths that are absolute or go upwards are refused as written, links by where they end.
+    """
+    given = PurePosixPath(path)
+    if not given.parts or given.is_absolute() or any(p in ("..", ".") for p in path.rstrip("/").split("/")):
+        return None
+    base = Path(root).resolve()
+    for below in (PurePosixPath("docs") / given, given):
+        if (base / below).exists():
+            return str(below) if (base / below).resolve().is_relative_to(base) else None
+    return None
+
+
+def evidence_of(listed: str, own: str, root: str) -> list[tuple[str, str | None]]:
+    """(source, place) of each entry; one that resolves to nothing in the repository refuses the document."""
+    found = []
+    for entry in formats.split_evidence(listed):
+        path, span = split_entry(entry)
+        below = contained(path, root)
+        if below is None:
+            raise formats.FormatError(f"{own}: evidence {entry!r} is not in the repository")
+        found.append((below, span))
+    return found
+
+
 class _Sync:
     """One document's batch in the making."""
 
-    def __init__(self, ledger: S.Ledger, document: str, admits=lambda key: True):
-        self.ledger, self.document, self.admits = ledger, document, admits
+    def __init__(self, ledger: S.Ledger, document: str, admits=lambda key: True, rehearse: dict[str, str] | None = None):
+        self.ledger, self.document, self.admits, self.rehearse = ledger, document, admits, rehearse
         self.drafts: list[S.Draft] = []
         self.report = Report()
         prior = keeper.prior_origins(ledger.records).where(F.col("identity").startswith(f"{document}#"))
@@ -74,26 +114,35 @@ class _Sync:
     def finish(self) -> Report:
         self.report.absent = sorted(k for k in self.prior if k not in self.seen and "/" not in k)
         self.report.written = len(self.drafts)
-        if self.drafts:
+        if self.drafts and self.rehearse is not None:
+            self.ledger.append(self.drafts, self.rehearse)
+        elif self.drafts:
             with S.Lock(self.ledger.path):
                 self.ledger.append(self.drafts)
         return self.report
 
 
-def sync_decisions(ledger: S.Ledger, text: str, document: str = "DECISIONS.md", admits=lambda key: True) -> Report:
+def sync_decisions(
+    ledger: S.Ledger, text: str, document: str = "DECISIONS.md", admits=lambda key: True, root: str | None = None, rehearse: bool = False
+) -> Report:
     """Decisions and hypotheses: the body, its title as an attribute, and edges to what it mentions.
 
     A promoted decision promotes body and title in one act and retires the wording before. The edges
     are an agent's and stay proposed. An open hypothesis that reads otherwise is abandoned for its new
-    wording; a scored one has drifted.
+    wording; a scored one has drifted. With ``root``, the repository's folder, evidence becomes sources.
+    With ``rehearse`` everything is checked and told, and nothing is written.
     """
     parsed = formats.parse_decisions(text)
     named = {m for d in parsed for m in formats.mentioned(d.raw, d.id)}
     labels = [("decision", d.id) for d in parsed]
     known = {d.id for d in parsed} | {n for n in named if n.startswith("U-")}
     labels += [("unknown", n) for n in sorted(named) if n.startswith("U-")]
-    ids = dict(zip([n for _, n in labels], ledger.upsert_entities(labels)))
-    sync = _Sync(ledger, document, admits)
+    evidence = {d.id: evidence_of(d.yaml["evidence"], d.id, root) for d in parsed if root is not None and d.yaml.get("evidence")}
+    labels += [("source", path) for path in sorted({path for e in evidence.values() for path, _ in e})]
+    made = [S.new_id() for _ in labels] if rehearse else ledger.upsert_entities(labels)
+    ids = dict(zip([n for _, n in labels], made))
+    kinds = dict(zip(made, [kind for kind, _ in labels])) if rehearse else None
+    sync = _Sync(ledger, document, admits, kinds)
     sync.report.dangling = sorted(named - known)
     for d in parsed:
         digest = formats.digest(d.raw)
@@ -108,6 +157,7 @@ def sync_decisions(ledger: S.Ledger, text: str, document: str = "DECISIONS.md",
         trigger = d.yaml.get("review_trigger")
         when = {"valid_from": _date(d.yaml.get("valid_from")), "noted": d.yaml.get("recorded"), "due_at": _date(trigger),
                 "on_event": None if _date(trigger) else trigger}
+        when["evidence"] = [{"source": ids[path]} | ({"span": span} if span else {}) for path, span in evidence.get(d.id, [])]
         kind, shape, body = d.content()
         if kind == "hypothesis":
             by = _date(d.yaml["score_by"])

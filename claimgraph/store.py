@@ -12,7 +12,8 @@ import os
 import secrets
 import socket
 import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 from functools import cached_property
@@ -20,6 +21,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.display import state_label
 from claimgraph.operators import graph, lexical, redact, retrieve, state, validate, vectors, views
 from claimgraph.schema import CLOSE_REASONS, ENVELOPE_VERSION, LEGAL, RETIRE_REASONS
 from claimgraph.sources import journal
@@ -28,7 +30,6 @@ from claimgraph.sources import journal
 TOLERANCE = timedelta(minutes=5)
 #: Least, most and default of the tools' limits.
 SEARCH_LIMIT, LIST_LIMIT, AUDIT_LIMIT = (1, 50, 8), (1, 200, 25), (1, 500, 50)
-AUDIT_RING = 1_000
 ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
@@ -184,18 +185,29 @@ class Lock:
 class Ledger:
     """The log of a folder, as tables. ``now`` can be given for tests."""
 
-    def __init__(self, spark: SparkSession, path: str, now=lambda: datetime.now(UTC)):
-        self.spark, self.path, self.now = spark, path.rstrip("/"), now
-        os.makedirs(f"{self.path}/log", exist_ok=True)
-        os.makedirs(f"{self.path}/commits", exist_ok=True)
+    def __init__(self, spark: SparkSession, path: str, now=lambda: datetime.now(UTC), read_only: bool = False):
+        self.spark, self.path, self.now, self.read_only = spark, path.rstrip("/"), now, read_only
+        if not read_only:
+            os.makedirs(f"{self.path}/log", exist_ok=True)
+            os.makedirs(f"{self.path}/commits", exist_ok=True)
+        elif not os.path.isdir(f"{self.path}/commits"):
+            raise Refused(f"there is no store at {self.path}")
 
     # ── reading ──
 
     def batches(self) -> list[str]:
-        return sorted(os.listdir(f"{self.path}/commits"))
+        return sorted(b for b in os.listdir(f"{self.path}/commits") if not b.endswith(".tmp"))
+
+    def follow(self) -> bool:
+        """Read anew if another process has committed since; whether it has."""
+        changed = self.batches() != self.__dict__.get("_read")
+        if changed:
+            self.refresh()
+        return changed
 
     def lines(self) -> DataFrame:
-        committed = [f"{self.path}/log/{b}" for b in self.batches()]
+        self._read = self.batches()
+        committed = [f"{self.path}/log/{b}" for b in self._read]
         if not committed:
             return self.spark.createDataFrame([], "seq long, line string")
         return self.spark.read.schema("seq long, line string").parquet(*committed)
@@ -230,14 +242,44 @@ class Ledger:
     # ── writing ──
 
     def commit(self, lines: DataFrame, name: str | None = None) -> None:
-        """``seq, line`` as one batch."""
+        """``seq, line`` as one batch. Its marker says the last number and time of the log with it."""
+        if self.read_only:
+            raise Refused("the store is open for reading only")
         name = name or f"{len(self.batches()):08d}"
-        lines.write.mode("overwrite").parquet(f"{self.path}/log/{name}")
+        folder = f"{self.path}/log/{name}"
+        lines.write.mode("overwrite").parquet(folder)
+        written = self.spark.read.schema("seq long, line string").parquet(folder)
+        said = F.from_json("line", "struct<recorded_at:string,at:string>")
+        at = F.max(F.coalesce(said["recorded_at"], said["at"]).cast("timestamp"))
+        top = written.agg(F.max("seq").alias("seq"), F.unix_micros(at).alias("at")).first()
+        last = self.last()
+        self._mark(name, {"seq": max(-1 if top["seq"] is None else top["seq"], last["seq"]), "at": max(top["at"] or 0, last["at"] or 0) or None})
+        self.refresh()
+
+    def _mark(self, name: str, last: dict) -> None:
+        """The marker that makes a batch count, behind its rows on the disk."""
+        for f in os.scandir(f"{self.path}/log/{name}"):
+            with open(f.path, "rb") as rows:
+                os.fsync(rows.fileno())
         with open(f"{self.path}/commits/{name}.tmp", "w") as f:
+            json.dump(last, f)
             f.flush()
             os.fsync(f.fileno())
         os.rename(f"{self.path}/commits/{name}.tmp", f"{self.path}/commits/{name}")
-        self.refresh()
+
+    def last(self) -> dict:
+        """``seq`` and ``at`` (microseconds) of the log's end: from the last marker, or where that is an
+        empty one of old, from the log."""
+        batches = self.batches()
+        if not batches:
+            return {"seq": -1, "at": None}
+        with open(f"{self.path}/commits/{batches[-1]}") as f:
+            text = f.read()
+        if text:
+            return json.loads(text)
+        top = self.lines().agg(F.max("seq")).first()[0]
+        times = [x.agg(F.unix_micros(F.max("recorded_at"))).first()[0] for x in (self.records, self.effects)]
+        return {"seq": -1 if top is None else top, "at": max((x for x in times if x), default=None)}
 
     def import_log(self, path: str) -> None:
         """A log file as one batch, if it is whole and breaks no rule."""
@@ -251,8 +293,7 @@ class Ledger:
         self.commit(numbered)
 
     def _next_seq(self) -> int:
-        top = self.lines().agg(F.max("seq")).first()[0]
-        return 0 if top is None else top + 1
+        return self.last()["seq"] + 1
 
     def _commit_events(self, events: list[dict]) -> None:
         start = self._next_seq()
@@ -278,30 +319,30 @@ class Ledger:
 
     def record_time(self) -> datetime:
         """Now, or the log's last time while the clock is a little behind it."""
-        last = self.records.agg(F.max("recorded_at").alias("a")).first()[0]
-        last_v = self.effects.agg(F.max("recorded_at").alias("a")).first()[0]
-        last = max((t for t in (last, last_v) if t is not None), default=None)
+        last = self.last()["at"]
+        last = None if last is None else datetime.fromtimestamp(0, UTC) + timedelta(microseconds=last)
         now = self.now()
         now = now.replace(tzinfo=UTC) if now.tzinfo is None else now
         if last is None:
             return now
-        last = last.replace(tzinfo=UTC)
         if now >= last:
             return now
         if last - now > TOLERANCE:
             raise Refused(f"the clock is {last - now} behind the log")
         return last
 
-    def append(self, drafts: list[Draft]) -> list[str]:
+    def append(self, drafts: list[Draft], rehearse: dict[str, str] | None = None) -> list[str]:
         """Write drafts as one batch, or refuse them all. Each may build on those before it.
 
+        With ``rehearse``, kinds of entities that would be made by then, all is checked and nothing written.
+
         The drafts are checked one after the other on the driver, against the state of what they
         name: a batch is small, and only the rows it names are read.
         """
         at = self.record_time()
         named = {bare(x) for d in drafts for x in self._named(d)}
         wanted = self.spark.createDataFrame([(n,) for n in sorted(named)], "id string") if named else None
-        entity_kind: dict[str, str] = {}
+        entity_kind = {bare(i): kind for i, kind in (rehearse or {}).items()}
         held: dict[str, list] = {}
         if wanted is not None:
             for r in self.entities.join(F.broadcast(wanted), F.expr("substr(entity_id, 5)") == F.col("id")).collect():
@@ -318,7 +359,8 @@ class Ledger:
                 held[i] = [d.kind, opening]
             events.append(self._event(d, i, at))
             ids.append(f"rec_{i}")
-        self._commit_events(events)
+        if rehearse is None:
+            self._commit_events(events)
         return ids
 
     @staticmethod
@@ -418,10 +460,10 @@ class Ledger:
         missing = validate.unreceipted_redactions(journal.records(events)).limit(1).collect()
         if missing or fresh.count() != self.lines().count():
             raise Refused("the redacted log would not replay")
+        last = self.last()
         for b in old:
             os.rename(f"{self.path}/commits/{b}", f"{self.path}/log/{b}/_dropped")
-        with open(f"{self.path}/commits/{name}", "w") as f:
-            os.fsync(f.fileno())
+        self._mark(name, last)
         import shutil
 
         for b in old:
@@ -449,20 +491,20 @@ class Keeper:
     def reject(self, target: str, rationale: str | None = None) -> str:
         return self._rule(verdict("Reject", rationale, target=target))
 
-    def retire(self, target: str, reason: str) -> str:
-        return self._rule(verdict("Retire", target=target, reason=reason))
+    def retire(self, target: str, reason: str, rationale: str | None = None) -> str:
+        return self._rule(verdict("Retire", rationale, target=target, reason=reason))
 
-    def answer(self, gap_id: str, with_claim: str) -> str:
-        return self._rule(verdict("Answer", gap=gap_id, with_claim=with_claim))
+    def answer(self, gap_id: str, with_claim: str, rationale: str | None = None) -> str:
+        return self._rule(verdict("Answer", rationale, gap=gap_id, with_claim=with_claim))
 
-    def withdraw(self, gap_id: str, reason: str) -> str:
-        return self._rule(verdict("Withdraw", gap=gap_id, reason=reason))
+    def withdraw(self, gap_id: str, reason: str, rationale: str | None = None) -> str:
+        return self._rule(verdict("Withdraw", rationale, gap=gap_id, reason=reason))
 
-    def score(self, hypothesis_id: str, outcome: str) -> str:
-        return self._rule(verdict("Score", hypothesis=hypothesis_id, outcome=outcome))
+    def score(self, hypothesis_id: str, outcome: str, rationale: str | None = None) -> str:
+        return self._rule(verdict("Score", rationale, hypothesis=hypothesis_id, outcome=outcome))
 
-    def abandon(self, hypothesis_id: str, reason: str) -> str:
-        return self._rule(verdict("Abandon", hypothesis=hypothesis_id, reason=reason))
+    def abandon(self, hypothesis_id: str, reason: str, rationale: str | None = None) -> str:
+        return self._rule(verdict("Abandon", rationale, hypothesis=hypothesis_id, reason=reason))
 
 
 def record_out(records: DataFrame, effects: DataFrame, entities: DataFrame) -> DataFrame:
@@ -474,22 +516,47 @@ def record_out(records: DataFrame, effects: DataFrame, entities: DataFrame) -> D
     ev = records.select("record_id", F.posexplode("evidence").alias("n", "e")).join(labels, shown == F.col("entity_id"), "left")
     ev = ev.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("n", "label", F.col("e.span").alias("span")))).alias("evidence"))
     out = state.with_state(records.drop("evidence"), effects).join(about, "record_id", "left").join(ev, "record_id", "left")
-    return out.withColumn("state", F.coalesce("state", F.lit("not in the record"))).select(
+    return out.withColumn("state", state_label(F.col("state"))).select(
         "record_id", "kind", "state", "text", "about", "evidence", "author_name", "author_kind", "channel", "reference",
         "recorded_at", "valid_from", "valid_to", "supersedes",
     )
 
 
 class KnowledgeStore:
-    """The ten tools of a host. Each gives a DataFrame; every call is written to the audit, failed ones too."""
+    """The ten tools of a host. Each gives a DataFrame; every call is written to the audit, failed ones too.
+
+    Without the lock a host follows: it reads what others commit. The first write takes the lock,
+    which is then held until ``close``; if another process has it, that write is refused.
+    """
 
-    def __init__(self, ledger: Ledger, agent: str = "agent"):
+    def __init__(self, ledger: Ledger, agent: str = "agent", hold: bool = False):
         self.ledger, self.agent = ledger, agent
         self.audit_path = f"{ledger.path}/audit.jsonl"
+        self.lock = Lock(ledger.path)
+        self.hold = hold
+        #: Lines of the audit that the last read could not parse.
+        self.audit_dropped = 0
+
+    @contextmanager
+    def _writing(self) -> Iterator[None]:
+        """The lock, from now on if this host is to hold it; what was committed before is read first."""
+        if not self.lock.held:
+            self.lock.acquire()
+            self.ledger.follow()
+        try:
+            yield
+        finally:
+            if not self.hold:
+                self.lock.release()
+
+    def close(self) -> None:
+        self.lock.release()
 
     def _audited(self, tool: str, detail: str, call):
         outcome = "failed"
         try:
+            if not self.lock.held:
+                self.ledger.follow()
             result = call()
             outcome = "ok"
             return result
@@ -552,10 +619,21 @@ class KnowledgeStore:
             found = self.ledger.records.where(F.col("record_id") == f"rec_{bare(record_id)}")
             if found.isEmpty():
                 raise Refused(f"no record {record_id}")
-            return record_out(found, self.ledger.effects, self.ledger.entities)
+            shown = journal.shown_texts(self.ledger.events).withColumnRenamed("shown", "text")
+            out = record_out(found, self.ledger.effects, self.ledger.entities)
+            return out.drop("text").join(shown, "record_id", "left").select(*out.columns)
 
         return self._audited("get_record", record_id, call)
 
+    def verdicts(self, record_id: str) -> DataFrame:
+        """The verdicts that moved a record, in words, in log order."""
+
+        def call() -> DataFrame:
+            moved = self.ledger.effects.where(F.col("target_id") == f"rec_{bare(record_id)}").select("verdict_id").distinct()
+            return journal.verdicts(self.ledger.events).join(moved, "verdict_id", "left_semi").orderBy("seq")
+
+        return self._audited("verdicts", record_id, call)
+
     def history(self, record_id: str) -> DataFrame:
         mine = lambda: state.history(self.ledger.effects.where(F.col("target_id") == f"rec_{bare(record_id)}")).orderBy("n")
         return self._audited("history", record_id, mine)
@@ -591,7 +669,7 @@ class KnowledgeStore:
         """The new id, and the records that already state the same."""
 
         def call() -> tuple[str, DataFrame]:
-            with Lock(self.ledger.path):
+            with self._writing():
                 i = self.ledger.append([Draft(content, self.agent, "agent", "agent_session", **envelope)])[0]
             same = state.identical_groups(self.ledger.records)
             mine = same.where(F.col("record_id") == i).select("first_id")
@@ -602,20 +680,42 @@ class KnowledgeStore:
     def register_gap(self, question: str, territory: Iterable[str] = ()) -> str:
         def call() -> str:
             about = self._resolve(territory)
-            with Lock(self.ledger.path):
+            with self._writing():
                 return self.ledger.append([Draft(gap(question, about), self.agent, "agent", "agent_session")])[0]
 
         return self._audited("register_gap", question, call)
 
+    def _audit_tail(self, n: int) -> list[tuple[int, str]]:
+        """The last lines of the audit with the bytes before each, read from the end in blocks."""
+        if not os.path.exists(self.audit_path):
+            return []
+        with open(self.audit_path, "rb") as f:
+            at, held = f.seek(0, os.SEEK_END), b""
+            while at > 0 and held.count(b"\n") <= n:
+                step = min(at, 1 << 16)
+                at -= step
+                f.seek(at)
+                held = f.read(step) + held
+        out = []
+        for line in held.splitlines(keepends=True):
+            if line.strip():
+                out.append((at, line.decode(errors="replace")))
+            at += len(line)
+        return out[-n:]
+
     def audit(self, limit: int | None = None) -> DataFrame:
-        """The last calls, newest first; lines that do not parse are left out."""
+        """The last calls, newest first; lines that do not parse are left out and counted in ``audit_dropped``."""
         n = clamp(limit, AUDIT_LIMIT)
 
         def call() -> DataFrame:
-            with open(self.audit_path, "a"):
-                pass
-            lines = journal.read_lines(self.ledger.spark, self.audit_path)
-            rows = lines.select("seq", F.from_json("line", "at string, tool string, detail string, outcome string").alias("a"))
-            return rows.select("seq", "a.*").where(F.col("tool").isNotNull()).orderBy(F.desc("seq")).limit(min(n, AUDIT_RING))
+            lines, self.audit_dropped = self._audit_tail(n), 0
+            rows = []
+            for at, line in lines:
+                try:
+                    said = json.loads(line)
+                    rows.append((at, *(said[c] for c in ("at", "tool", "detail", "outcome"))))
+                except (ValueError, KeyError, TypeError):
+                    self.audit_dropped += 1
+            return self.ledger.spark.createDataFrame(rows, "seq long, at string, tool string, detail string, outcome string").orderBy(F.desc("seq"))
 
         return self._audited("audit", str(n), call)
