@@ -290,14 +290,23 @@ def retrieve(candidates: Candidates, similar: DataFrame, records: DataFrame, o:
     return Answers(outcomes, items, gaps, beyond)
 
 
-def why(answers: Answers) -> DataFrame:
-    """``query_id, sentence``: the numbers behind each outcome, to two places."""
-    number = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
-    return answers.outcomes.select(
-        "query_id",
-        F.concat(
-            F.lit("outcome "), "outcome", F.lit(": first item covers "), number("coverage"), F.lit(" of the question, scores "),
-            number("relevance"), F.lit("; the record knows "), number("known"), F.lit(" of its words; "),
-            F.col("truncated").cast("string"), F.lit(" more were left out"),
-        ).alias("sentence"),
+def why(answers: Answers, o: Options = Options()) -> DataFrame:
+    """The explanation of each outcome: ``query_id, outcome, coverage, min_coverage, known, min_known,
+    short_of, read_as, unknown, summary``; numbers to two places, ``short_of`` names the bounds missed."""
+    two = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
+    said = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
+    weak = F.col("outcome") == "weak_matches"
+    bounds = (("coverage", o.min_coverage), ("relevance", o.min_score), ("known", o.min_known))
+    short = F.array_compact(F.array(*[F.when(weak & (F.col(c) < least), F.lit(c)) for c, least in bounds]))
+    shown = F.concat(
+        F.lit("first item covers "), said("coverage"), F.lit(f" (least {o.min_coverage:.2f}), the record knows "), said("known"),
+        F.lit(f" (least {o.min_known:.2f}) of the question"),
+    )
+    near = F.transform("read_as", lambda r: F.concat(r["asked"], F.lit(" as "), r["read"]))
+    missing = F.when(F.size("unknown") > 0, F.concat(F.lit("unknown words: "), F.array_join("unknown", ", ")))
+    read = F.when(F.size("read_as") > 0, F.concat(F.lit("taken "), F.array_join(near, ", ")))
+    summary = F.concat_ws("; ", F.when(F.col("outcome") == "none", F.lit("no item meets the question")).otherwise(shown), missing, read)
+    return answers.outcomes.withColumns({"short_of": short, "summary": summary}).select(
+        "query_id", "outcome", two("coverage"), F.lit(o.min_coverage).alias("min_coverage"), two("known"), F.lit(o.min_known).alias("min_known"),
+        "short_of", "read_as", "unknown", "summary",
     )

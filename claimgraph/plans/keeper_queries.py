@@ -9,7 +9,7 @@ from claimgraph import store
 from claimgraph.operators import keeper
 from claimgraph.plans import ledger as L
 from claimgraph.plans.ledger import WITH, sql_id
-from claimgraph.plans.retrieval_queries import STOP, _answers, _tokens, questions
+from claimgraph.plans.retrieval_queries import ANSWERED, STOP, _answers, _search, _tokens, questions
 from claimgraph.plans.tables import table
 from claimgraph.sources import formats
 
@@ -64,9 +64,14 @@ def attestation_weakest(s: SparkSession, d: str) -> DataFrame:
 
 
 def golden_grade(s: SparkSession, d: str) -> DataFrame:
-    """Held-out questions: nothing here settles them, so to abstain is right."""
-    asked = questions(s, d).select("query_id", F.lit("abstain").alias("expects"), F.lit(None).cast("string").alias("expected"))
-    return keeper.scorecard(keeper.grade(asked, _answers(s, d, False), keeper.anchors(L.records(s, d), L.entities(s, d))))
+    """Questions of even number are to be abstained from; the others are to be answered by what the third
+    full-text match is about, so that rankings that differ show."""
+    anchored = keeper.anchors(L.records(s, d), L.entities(s, d))
+    third = _search(s, d).ranked.where("admitted AND rank = 3").join(anchored, "record_id").select("query_id", F.col("anchor").alias("third"))
+    asked = questions(s, d).join(third, "query_id", "left")
+    odd = F.col("query_id") % 2 == 1
+    asked = asked.select("query_id", F.when(odd, "answer").otherwise("abstain").alias("expects"), F.when(odd, F.col("third")).alias("expected"))
+    return keeper.scorecard(keeper.grade(asked, _answers(s, d), anchored))
 
 
 def anchors(s: SparkSession, d: str) -> DataFrame:
@@ -127,7 +132,31 @@ ABSENT = f"""asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('que
 CELL = "trim(string_split(regexp_replace(trim(raw_row), '^\\||\\|$', '', 'g'), '|')[{0}])"
 TAIL = f"CASE WHEN contains({CELL.format(2)}, '**Resolved') THEN regexp_extract({CELL.format(2)}, '\\*\\*Resolved(.*)$', 1, 's') END"
 
+NAMED = """n AS (SELECT record_id, unnest(refs) AS entity_id, generate_subscripts(refs, 1) AS n FROM rec WHERE kind IN ('claim', 'gap')
+      ), first_ AS (SELECT record_id, arg_min(label, n) AS label FROM n JOIN ent USING (entity_id) WHERE ent.kind IN ('decision', 'unknown', 'proposal')
+        AND label IS NOT NULL GROUP BY 1), anchor AS (SELECT rec.record_id, coalesce(label, rec.record_id) AS anchor FROM rec LEFT JOIN first_ USING (record_id))"""
+GRAMS = "(SELECT {0} AS id, toks, unnest(range(1, len(toks) - 3)) AS p FROM (SELECT {0}, {1} AS toks FROM {2}) WHERE len(toks) >= 5)"
+
 SQL = {
+    "golden_grade": ANSWERED + ", " + NAMED + """, third AS (SELECT query_id, anchor FROM ranked JOIN anchor USING (record_id) WHERE admitted AND rank = 3
+      ), g AS (SELECT o.query_id, o.query_id % 2 = 1 AS odd, outcome = 'matches' AS sure, EXISTS (SELECT 1 FROM held JOIN anchor USING (record_id)
+        WHERE held.query_id = o.query_id AND position <= 3 AND anchor.anchor = third.anchor) AS found,
+        EXISTS (SELECT 1 FROM beyond JOIN anchor USING (record_id) WHERE beyond.query_id = o.query_id AND anchor.anchor = third.anchor) AS pointed
+        FROM o LEFT JOIN third ON third.query_id = o.query_id)
+      SELECT CASE WHEN NOT odd THEN CASE WHEN sure THEN 'BLUFFED' ELSE 'abstained' END WHEN found AND sure THEN 'answered' WHEN found THEN 'UNDERCONFIDENT'
+        WHEN sure THEN 'WRONG ANCHOR' WHEN pointed THEN 'pointed+beyond' ELSE 'MISSED' END AS verdict, count(*) AS n FROM g GROUP BY 1""",
+    "quoted_questions": f"""WITH qg AS (SELECT id, p, toks[p:p + 4] AS g FROM {GRAMS.format('item_id', _tokens('question'), 'eval_items')}
+      ), dg AS (SELECT id, p, toks[p:p + 4] AS g FROM {GRAMS.format('doc_id', _tokens('text'), 'documents')}
+      ), hit AS (SELECT DISTINCT q.id AS query_id, d.id AS record_id, d.p, d.p - q.p AS slant FROM qg q JOIN dg d USING (g)
+      ), run AS (SELECT query_id, record_id, slant, p - row_number() OVER (PARTITION BY query_id, record_id, slant ORDER BY p) AS isle FROM hit)
+      SELECT query_id, record_id::VARCHAR AS record_id, max(n) AS run FROM (SELECT query_id, record_id, count(*) + 4 AS n FROM run
+        GROUP BY query_id, record_id, slant, isle) GROUP BY 1, 2""",
+    "attestation_weakest": """WITH l AS (SELECT DISTINCT seq AS line, author_known_by AS detail, CASE split_part(author_known_by, ' ', 1) WHEN 'attest:signed' THEN 3
+        WHEN 'attest:unknown-key' THEN 2 WHEN 'attest:unsigned' THEN 1 WHEN 'attest:none' THEN 0 ELSE -1 END AS s FROM ledger_records WHERE author_known_by IS NOT NULL
+      ), sp AS (SELECT DISTINCT line // 100 AS id FROM l)
+      SELECT id, arg_min(detail, (s, line)) AS detail FROM sp JOIN l ON line BETWEEN id * 100 AND id * 100 + 149 GROUP BY id""",
+    "record_out": WITH + """ SELECT record_id, kind, state, CASE WHEN len(refs) > 0 THEN len(refs) ELSE -1 END::INTEGER AS about,
+      CASE WHEN len(sources) > 0 THEN len(sources) ELSE -1 END::INTEGER AS evidence FROM st""",
     "sync_dispositions": SYNC + """ SELECT s.identity, CASE WHEN p.identity IS NULL THEN 'fresh' WHEN p.digest = s.digest THEN 'unchanged'
       ELSE 'changed' END AS disposition FROM src s LEFT JOIN prior p USING (identity)""",
     "absent_records": SYNC + f""" SELECT identity FROM prior WHERE identity NOT IN (SELECT origin_key FROM register_unknowns

@@ -225,6 +225,10 @@ SQL = {
     "shortest_path_hops": RECURSIVE + """, walk AS (SELECT entity_id AS source, entity_id AS entity, 0 AS hop FROM src
       UNION SELECT source, object_id, hop + 1 FROM walk JOIN edge ON subject = entity WHERE hop < 40 AND object_id IS NOT NULL)
       SELECT source, entity, min(hop)::DOUBLE AS cost FROM walk GROUP BY 1, 2""",
+    "shortest_path_neglog": RECURSIVE + """, cost AS (SELECT subject, object_id, -ln((seq % 90 + 10) / 100.0) AS c FROM edge WHERE seq % 7 <> 0 AND object_id IS NOT NULL
+      ), walk AS (SELECT entity_id AS source, entity_id AS entity, 0.0::DOUBLE AS cost, [entity_id] AS way FROM src
+      UNION ALL SELECT source, object_id, cost + c, list_append(way, object_id) FROM walk JOIN cost ON subject = entity WHERE NOT list_contains(way, object_id))
+      SELECT source, entity, round(min(cost), 6) AS cost FROM walk GROUP BY 1, 2""",
     "states_cube": WITH + """ SELECT kind, author_kind, state, (4 * grouping(kind) + 2 * grouping(author_kind) + grouping(state))::INTEGER
       AS level, count(*) AS n FROM st GROUP BY CUBE (kind, author_kind, state)""",
     "verdicts_by_day": WITH + " SELECT date_trunc('day', recorded_at) AS day, action, count(*) AS n FROM eff GROUP BY 1, 2",

@@ -23,30 +23,45 @@ LSH_RECALL = 0.95
 
 
 @lru_cache(maxsize=8)
-def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, lexical.TextIndex, DataFrame]:
-    records = L.records(s, d)
-    view = views.admitted(records, L.effects(s, d), VIEW)
-    return records, view, lexical.TextIndex(records).write(), questions(s, d)
+def _ledger(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, lexical.TextIndex]:
+    ws = Workspace(s, "view")
+    records = ws.table(L.records(s, d), "records")
+    view = ws.table(views.admitted(records, L.effects(s, d), VIEW), "view")
+    return records, view, lexical.TextIndex(records).write()
+
+
+def _parts(s: SparkSession, d: str, ask: str = "items") -> tuple[DataFrame, DataFrame, lexical.TextIndex, DataFrame]:
+    return *_ledger(s, d), questions(s, d) if ask == "items" else register_questions(s, d)
 
 
 def questions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
 
 
+def register_questions(s: SparkSession, d: str) -> DataFrame:
+    """The questions of the registers, some of which the ledger holds as gaps."""
+    rows = table(s, d, "register_unknowns").groupBy(F.col("origin_key").alias("query_id"))
+    return rows.agg(F.max("question").alias("text"))
+
+
 @lru_cache(maxsize=8)
-def _search(s: SparkSession, d: str) -> lexical.Candidates:
-    _, view, index, asked = _parts(s, d)
+def _search(s: SparkSession, d: str, ask: str = "items") -> lexical.Candidates:
+    _, view, index, asked = _parts(s, d, ask)
     return lexical.search(index, asked, view)
 
 
-def _similar(s: SparkSession, d: str, k: int | None = None) -> DataFrame:
+@lru_cache(maxsize=8)
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    """The vectors of what the view admits, worked out once."""
+    view = _ledger(s, d)[1].where(F.col("text").isNotNull())
+    docs = view.select(F.col("record_id").alias("key"), vectors.hash_embed(F.col("text"), DIMS).alias("vector"))
+    return Workspace(s, "vectors").table(docs, "vectors")
+
+
+def _similar(s: SparkSession, d: str, k: int | None = None, ask: str = "items") -> DataFrame:
     """Cosines above nought of what the view admits."""
-    _, view, _, asked = _parts(s, d)
-    docs = view.where(F.col("text").isNotNull()).select(
-        F.col("record_id").alias("key"), vectors.hash_embed(F.col("text"), DIMS).alias("vector")
-    )
-    q = asked.select("query_id", vectors.hash_embed(F.col("text"), DIMS).alias("vector"))
-    return vectors.exact_similar(docs, q, DIMS, k, unique=True).withColumnRenamed("key", "record_id")
+    q = _parts(s, d, ask)[3].select("query_id", vectors.hash_embed(F.col("text"), DIMS).alias("vector"))
+    return vectors.exact_similar(_vectors(s, d), q, DIMS, k, unique=True).withColumnRenamed("key", "record_id")
 
 
 def _nothing(s: SparkSession) -> DataFrame:
@@ -157,32 +172,44 @@ def _fused(s: SparkSession, d: str, rrf_k: float | None) -> DataFrame:
     return _rounded(top, "score")
 
 
-def _items(s: SparkSession, d: str, hybrid: bool, **options: object) -> DataFrame:
+def _items(s: SparkSession, d: str, **options: object) -> DataFrame:
     records = _parts(s, d)[0]
-    similar = _similar(s, d) if hybrid else _nothing(s)
-    items = retrieve.list_items(_search(s, d), similar, records, retrieve.Options(**options))
+    items = retrieve.list_items(_search(s, d), _similar(s, d), records, retrieve.Options(**options))
     return _rounded(items.where("position <= 10").select("query_id", "position", "record_id", "via", "coverage"), "coverage")
 
 
 @lru_cache(maxsize=8)
-def _answers(s: SparkSession, d: str, hybrid: bool) -> retrieve.Answers:
-    similar = _similar(s, d) if hybrid else _nothing(s)
-    return retrieve.retrieve(_search(s, d), similar, _parts(s, d)[0])
+def _answers(s: SparkSession, d: str, ask: str = "items") -> retrieve.Answers:
+    return retrieve.retrieve(_search(s, d, ask), _similar(s, d, ask=ask), _parts(s, d)[0])
 
 
 def outcomes(s: SparkSession, d: str) -> DataFrame:
-    o = _answers(s, d, False).outcomes
+    o = _answers(s, d).outcomes
     return _rounded(o.select("query_id", "outcome", "items", "truncated", "known", "coverage", "relevance"), "known", "coverage", "relevance")
 
 
 def outcome_tags(s: SparkSession, d: str) -> DataFrame:
-    return _answers(s, d, True).outcomes.select("query_id", F.concat_ws(",", "tags").alias("tags"))
+    return _answers(s, d, "register").outcomes.select("query_id", F.concat_ws(",", "tags").alias("tags"))
+
+
+def answer_items(s: SparkSession, d: str) -> DataFrame:
+    items = _answers(s, d).items
+    return items.select("query_id", "position", "record_id", F.col("excerpt").isNotNull().alias("cut"))
+
+
+def answer_excerpts(s: SparkSession, d: str) -> DataFrame:
+    return _answers(s, d).items.where(F.col("excerpt").isNotNull()).select("query_id", "position", "excerpt")
+
+
+def why(s: SparkSession, d: str) -> DataFrame:
+    told = retrieve.why(_answers(s, d))
+    return told.select("query_id", "outcome", F.concat_ws(",", "short_of").alias("short_of"), F.size("unknown").alias("unknown"))
 
 
 def expanded_items(s: SparkSession, d: str) -> DataFrame:
     """What stands one hop around the three best items of each question."""
     records, view, _, _ = _parts(s, d)
-    items = retrieve.list_items(_search(s, d), _nothing(s), records).where("position <= 3")
+    items = retrieve.list_items(_search(s, d), _similar(s, d), records).where("position <= 3")
     seeds = Workspace(s, "seeds").table(items.join(records.select("record_id", "refs"), "record_id"), "seeds")
     return graph.expand(seeds, views.edges(view), views.about(view), 1).drop("path")
 
@@ -207,15 +234,16 @@ QUERIES = {
     "rrf_k0": lambda s, d: _fused(s, d, 0.0),
     "rrf_k60": lambda s, d: _fused(s, d, 60.0),
     "weighted_fusion": lambda s, d: _fused(s, d, None),
-    "hybrid_items": lambda s, d: _items(s, d, True),
-    "uncovered_kept": lambda s, d: _items(s, d, True, drop_uncovered=False, titles="keep"),
-    "titles_folded": lambda s, d: _items(s, d, False, titles="fold_behind"),
+    "hybrid_items": lambda s, d: _items(s, d),
+    "uncovered_kept": lambda s, d: _items(s, d, drop_uncovered=False, titles="keep"),
+    "titles_folded": lambda s, d: _items(s, d, titles="fold_behind"),
     "outcomes": outcomes,
     "outcome_tags": outcome_tags,
-    "answer_items": lambda s, d: _answers(s, d, False).items.select("query_id", "position", "record_id", "excerpt"),
-    "gap_offers": lambda s, d: _rounded(_answers(s, d, False).gaps.select("query_id", "n", "record_id", "coverage"), "coverage"),
-    "beyond_view": lambda s, d: _rounded(_answers(s, d, False).beyond, "coverage"),
-    "why": lambda s, d: retrieve.why(_answers(s, d, False)),
+    "answer_items": answer_items,
+    "answer_excerpts": answer_excerpts,
+    "gap_offers": lambda s, d: _rounded(_answers(s, d, "register").gaps.select("query_id", "n", "record_id", "coverage"), "coverage"),
+    "beyond_view": lambda s, d: _rounded(_answers(s, d, "register").beyond, "coverage"),
+    "why": why,
     "expanded_items": expanded_items,
 }
 
@@ -235,7 +263,10 @@ INDEX = _admitted(ON, ON, "'promoted'") + f""", doc AS (
 ), freq AS (SELECT term, count(*) AS df FROM post GROUP BY term
 ), stat AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM doc)"""
 
-SEARCH = INDEX + f""", asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('question')}) AS asked FROM eval_items
+ITEMS = "SELECT item_id AS query_id, question AS text FROM eval_items"
+REGISTER = "SELECT origin_key AS query_id, max(question) AS text FROM register_unknowns GROUP BY 1"
+
+SEARCH = INDEX + f""", q AS ({ITEMS}), asked AS (SELECT DISTINCT query_id, unnest({_tokens('text')}) AS asked FROM q
 ), kept AS (SELECT a.*, df FROM asked a LEFT JOIN freq f ON a.asked = f.term, stat
   WHERE a.asked NOT IN ({STOP}) AND NOT (n >= 10 AND coalesce(df, 0) > 0.5 * n)
 ), near AS (SELECT asked, min(term) AS read FROM (SELECT DISTINCT asked FROM kept WHERE df IS NULL AND strlen(asked) >= 5) k
@@ -245,9 +276,9 @@ SEARCH = INDEX + f""", asked AS (SELECT DISTINCT item_id AS query_id, unnest({_t
   LEFT JOIN near ON k.asked = near.asked
 ), term AS (SELECT query_id, asked, read, ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1) AS idf
   FROM term0 LEFT JOIN freq ON read = freq.term, stat
-), qs AS (SELECT e.item_id AS query_id, sum(idf) AS total_idf, sum(CASE WHEN read IS NULL THEN idf ELSE CASE WHEN idf IS NULL THEN NULL ELSE 0 END END) AS missing_idf,
+), qs AS (SELECT e.query_id, sum(idf) AS total_idf, sum(CASE WHEN read IS NULL THEN idf ELSE CASE WHEN idf IS NULL THEN NULL ELSE 0 END END) AS missing_idf,
   CASE WHEN sum(idf) > 0 THEN 1 - sum(CASE WHEN read IS NULL THEN idf ELSE 0 END) / sum(idf) ELSE 0 END AS known
-  FROM eval_items e LEFT JOIN term ON e.item_id = query_id GROUP BY 1
+  FROM q e LEFT JOIN term ON e.query_id = term.query_id GROUP BY 1
 ), hit AS (SELECT query_id, record_id, seq, refs, sum(idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len(toks) / avgdl))) AS score, sum(idf) AS matched
   FROM term JOIN post ON read = post.term JOIN doc USING (record_id), stat GROUP BY query_id, record_id, seq, refs
 ), lexed AS (SELECT h.*, matched / total_idf AS coverage, record_id IN (SELECT record_id FROM v) AS admitted FROM hit h JOIN qs USING (query_id)
@@ -269,7 +300,7 @@ def _embedded(name: str, rows: str) -> str:
 
 
 SIMILAR = ", " + _embedded("ev", "SELECT record_id AS id, text FROM v WHERE text IS NOT NULL") + ", " + _embedded(
-    "eq", "SELECT item_id AS id, question AS text FROM eval_items") + """,
+    "eq", f"SELECT query_id AS id, text FROM ({ITEMS})") + """,
   sim AS (SELECT eq.id AS query_id, ev.id AS record_id, seq, sum(eq.w * ev.w) AS similarity FROM eq JOIN ev USING (slot)
     JOIN v ON v.record_id = ev.id GROUP BY ALL)"""
 
@@ -290,7 +321,73 @@ def _fused_sql(score: str) -> str:
 RRF = "coalesce(1.0::DOUBLE / ({0} + lr), 0) + coalesce(1.0::DOUBLE / ({0} + vr), 0)"
 TOP = " SELECT query_id, record_id, fused_rank, round(score, 6) AS score, via FROM f WHERE fused_rank <= 10"
 
+LISTED = _fused_sql(RRF.format(0)).replace("WITH ent", "WITH RECURSIVE ent", 1) + """, cand AS (
+  SELECT query_id, record_id, fused_rank, via, coalesce(relevance, 0) AS relevance, coverage, max(coverage) OVER (PARTITION BY query_id) AS best,
+    CASE WHEN shape = 'attribute' AND attr_name = 'title' THEN subject END AS title, CASE WHEN kind = 'claim' THEN coalesce(refs, []) ELSE [] END AS about
+  FROM f JOIN rec USING (record_id) WHERE kind <> 'gap'
+), l AS (SELECT * FROM cand WHERE best <= 0 OR via <> 'vector' OR coverage > 0
+), body AS (SELECT query_id, fused_rank, record_id, about, unnest(about) AS ref FROM l WHERE title IS NULL
+), t AS (SELECT t.query_id, t.record_id, t.fused_rank, t.title, row_number() OVER (PARTITION BY t.query_id ORDER BY t.fused_rank) AS n,
+    row_number() OVER (PARTITION BY t.query_id, t.title ORDER BY t.fused_rank) > 1 AS again, b.first, b.id AS taken, b.about
+  FROM l t LEFT JOIN (SELECT query_id, ref, min(fused_rank) AS first, arg_min(record_id, fused_rank) AS id, arg_min(about, fused_rank) AS about
+    FROM body GROUP BY ALL) b ON b.query_id = t.query_id AND b.ref = t.title WHERE t.title IS NOT NULL
+), walk AS (SELECT DISTINCT query_id, 0::BIGINT AS n, []::VARCHAR[] AS moved, NULL::VARCHAR AS gone, NULL::VARCHAR AS taken, NULL::BIGINT AS slot FROM t
+  UNION ALL SELECT query_id, n, CASE WHEN takes THEN list_concat(moved, about) ELSE moved END, CASE WHEN seen OR takes THEN record_id END,
+    CASE WHEN takes THEN taken END, slot FROM (SELECT *, NOT seen AND first IS NOT NULL AS takes FROM (
+      SELECT w.query_id, t.n, w.moved, t.record_id, t.taken, t.about, t.first, t.fused_rank AS slot,
+        t.again OR coalesce(t.first < t.fused_rank, false) OR list_contains(w.moved, t.title) AS seen
+      FROM walk w JOIN t ON t.query_id = w.query_id AND t.n = w.n + 1))
+), fold AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY pos)::INTEGER AS position FROM (
+    SELECT l.*, coalesce(m.slot, l.fused_rank) AS pos FROM l LEFT JOIN walk m ON m.query_id = l.query_id AND m.taken = l.record_id
+    WHERE NOT EXISTS (SELECT 1 FROM walk g WHERE g.query_id = l.query_id AND g.gone = l.record_id))
+)"""
+ANSWERED = LISTED + """, held AS (SELECT fold.query_id, position, fold.record_id, coalesce(len(toks), 0) AS size FROM fold LEFT JOIN doc USING (record_id) WHERE position <= 10
+), top AS (SELECT query_id, coverage, relevance FROM fold WHERE position = 1
+), num AS (SELECT query_id, count(*) AS total, least(count(*), 10) AS items FROM fold GROUP BY 1
+), o AS (SELECT query_id, CASE WHEN total IS NULL THEN 'none' WHEN coverage >= 0.5 AND relevance >= 0 AND known >= 0.5 THEN 'matches' ELSE 'weak_matches' END AS outcome,
+    coalesce(items, 0)::BIGINT AS items, (coalesce(total, 0) - coalesce(items, 0))::BIGINT AS truncated, coalesce(known, 0) AS known,
+    coalesce(coverage, 0) AS coverage, coalesce(relevance, 0) AS relevance FROM qs LEFT JOIN top USING (query_id) LEFT JOIN num USING (query_id)
+), gap AS (SELECT * FROM (SELECT query_id, record_id, coverage, row_number() OVER (PARTITION BY query_id ORDER BY round(coverage, 9) DESC,
+    round(coalesce(similarity, 0), 9) DESC, record_id)::INTEGER AS n FROM both_ JOIN rec USING (record_id) JOIN qs USING (query_id)
+    WHERE kind = 'gap' AND total_idf > 0 AND (coverage >= 0.25 OR similarity >= 0.5)) WHERE n <= 3
+), dark AS (SELECT query_id, arg_min({'record_id': record_id, 'coverage': coverage}, rank) FILTER (kind <> 'gap') AS best, count(*) AS n
+    FROM ranked JOIN rec USING (record_id) WHERE NOT admitted GROUP BY 1
+), beyond AS (SELECT query_id, best.record_id AS record_id, best.coverage AS coverage, n AS count FROM dark JOIN o USING (query_id)
+    WHERE outcome <> 'matches' AND best.coverage >= 0.5 AND known >= 0.5
+)"""
+
+
+def _register(sql: str) -> str:
+    """The same asked by the registers."""
+    return sql.replace(ITEMS, REGISTER)
+
+
 SQL = {
+    "hybrid_items": LISTED + " SELECT query_id, position, record_id, via, round(coverage, 6) AS coverage FROM fold WHERE position <= 10",
+    "titles_folded": LISTED + """ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank)::INTEGER AS position, record_id, via,
+      round(coverage, 6) AS coverage FROM l WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.query_id = l.query_id AND t.record_id = l.record_id
+      AND (again OR first < t.fused_rank)) QUALIFY position <= 10""",
+    "outcomes": ANSWERED + """ SELECT query_id, outcome, items, truncated, round(known, 6) AS known, round(coverage, 6) AS coverage,
+      round(relevance, 6) AS relevance FROM o""",
+    "answer_items": ANSWERED + " SELECT query_id, position, record_id, size > 400 AS cut FROM held",
+    "why": ANSWERED + """ SELECT query_id, outcome, CASE WHEN outcome = 'weak_matches' THEN concat_ws(',', CASE WHEN coverage < 0.5 THEN 'coverage' END,
+      CASE WHEN known < 0.5 THEN 'known' END) ELSE '' END AS short_of, (SELECT count(*) FROM term WHERE term.query_id = o.query_id AND read IS NULL)::INTEGER AS unknown FROM o""",
+    "outcome_tags": _register(ANSWERED) + """ SELECT query_id, concat_ws(',', outcome, CASE WHEN query_id IN (SELECT query_id FROM gap) THEN 'registered_gap' END,
+      CASE WHEN query_id IN (SELECT query_id FROM beyond) THEN 'beyond_view' END) AS tags FROM o""",
+    "gap_offers": _register(ANSWERED) + " SELECT query_id, n, record_id, round(coverage, 6) AS coverage FROM gap",
+    "beyond_view": _register(ANSWERED) + " SELECT query_id, record_id, round(coverage, 6) AS coverage, count FROM beyond",
+    "expanded_items": LISTED + """, seed AS (SELECT query_id, position AS seed, record_id, refs FROM fold JOIN rec USING (record_id) WHERE position <= 3
+      ), start AS (SELECT *, row_number() OVER (PARTITION BY query_id, seed ORDER BY entity) AS place FROM (SELECT DISTINCT query_id, seed, unnest(refs) AS entity FROM seed)
+      ), way AS (SELECT subject AS entity, object_id AS other, 0 AS turn, seq, record_id FROM v WHERE shape = 'relation'
+        UNION ALL SELECT object_id, subject, 1, seq, record_id FROM v WHERE shape = 'relation'
+      ), step AS (SELECT query_id, seed, other, min((place, turn, seq, record_id)) AS way FROM start JOIN way USING (entity) WHERE other IS NOT NULL
+        AND NOT EXISTS (SELECT 1 FROM start s WHERE s.query_id = start.query_id AND s.seed = start.seed AND s.entity = other) GROUP BY ALL
+      ), hop AS (SELECT query_id, seed, other, row_number() OVER (PARTITION BY query_id, seed ORDER BY way) AS place FROM step
+      ), said AS (SELECT h.query_id, a.record_id, min((seed, place, seq)) AS spot FROM hop h JOIN (SELECT unnest(refs) AS entity, seq, record_id FROM v
+        WHERE shape IN ('text', 'pattern') OR kind = 'gap') a ON a.entity = h.other
+        WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.query_id = h.query_id AND s.record_id = a.record_id) GROUP BY ALL)
+      SELECT said.query_id, row_number() OVER (PARTITION BY said.query_id ORDER BY spot)::INTEGER AS n, said.record_id, seed.record_id AS seed_id, 1 AS hop
+      FROM said JOIN seed ON seed.query_id = said.query_id AND seed.seed = spot[1]""",
     "tokenize_counts": INDEX + " SELECT record_id, term, tf FROM post",
     "term_frequencies": INDEX + " SELECT term, df FROM freq",
     "idf_table": INDEX + " SELECT term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM freq, stat",
@@ -322,9 +419,5 @@ SQL = {
       + coalesce(similarity / max(similarity) OVER (PARTITION BY query_id), 0)""") + TOP,
     "uncovered_kept": _fused_sql(RRF.format(0)) + """ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank)::INTEGER AS position,
       record_id, via, round(coverage, 6) AS coverage FROM f JOIN rec USING (record_id) WHERE kind <> 'gap' QUALIFY position <= 10""",
-    "outcomes": None,
-    "gap_offers": SEARCH + """ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coverage, 9) DESC, record_id)::INTEGER AS n,
-      record_id, round(coverage, 6) AS coverage FROM ranked JOIN rec USING (record_id) WHERE admitted AND kind = 'gap' AND coverage >= 0.25
-      QUALIFY n <= 3""",
 }
 SQL = {k: v for k, v in SQL.items() if v}
