@@ -50,6 +50,13 @@ class TextIndex:
         counted = words.groupBy("record_id", "seq", "size", "passage", "term").agg(F.count("*").alias("tf"))
         self.all_postings = counted.select("term", "record_id", "seq", "passage", self._length().alias("length"), "tf")
 
+    @classmethod
+    def stored(cls, documents: DataFrame, postings: DataFrame, lengths: DataFrame) -> TextIndex:
+        """An index whose tables are at hand; no text is read."""
+        index = cls.__new__(cls)
+        index.documents, index.all_postings, index.lengths = documents.select("record_id", "seq", "refs"), postings, lengths
+        return index
+
     def _length(self) -> Column:
         return F.least(F.lit(self.window), F.col("size") - F.col("passage") * self.window).cast("int")
 
@@ -90,7 +97,7 @@ def query_terms(queries: DataFrame, stopwords: list[str] | None = None) -> DataF
     return asked.where(~F.col("asked").isin(stop)) if stop else asked
 
 
-def near_terms(missing: DataFrame, frequencies: DataFrame) -> DataFrame:
+def near_terms(missing: DataFrame, frequencies: DataFrame, few: bool = True) -> DataFrame:
     """``asked, read``: for words the index lacks the one word of it that is a single inner edit away.
 
     Both words have five bytes or more and end alike; where two words come near, none is taken.
@@ -103,7 +110,7 @@ def near_terms(missing: DataFrame, frequencies: DataFrame) -> DataFrame:
     words = frequencies.where(F.octet_length("term") >= NEAR_BYTES).select(
         F.col("term").alias("read"), end("term").alias("end"), F.char_length("term").alias("size")
     )
-    near = words.join(F.broadcast(ask), ["end", "size"]).where(F.levenshtein("asked", "read", 1) == 1)
+    near = words.join(F.broadcast(ask) if few else ask, ["end", "size"]).where(F.levenshtein("asked", "read", 1) == 1)
     return near.groupBy("asked").agg(F.min("read").alias("read"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
@@ -139,7 +146,7 @@ def search(
     distinct = asked.select("asked").distinct()
     held = freq.join(small(distinct.withColumnRenamed("asked", "term")), "term", "left_semi")
     missing = distinct.join(held.withColumnRenamed("term", "asked"), "asked", "left_anti")
-    near = near_terms(missing, freq)
+    near = near_terms(missing, freq, few)
     read = held.select(F.col("term").alias("asked"), F.col("term").alias("read")).unionByName(near)
     read = ws.table(read.join(freq.withColumnRenamed("term", "read"), "read"), "read")
 
@@ -155,7 +162,7 @@ def search(
     if scope is not None:
         found = found.join(index.documents.select("record_id", "refs"), "record_id")
         scoped = scope.groupBy("query_id").agg(F.collect_set("entity_id").alias("wanted"))
-        found = found.join(F.broadcast(scoped), "query_id", "left").where(
+        found = found.join(small(scoped), "query_id", "left").where(
             F.col("wanted").isNull() | F.coalesce(F.arrays_overlap("refs", "wanted"), F.lit(False))
         )
     tf, norm = F.col("tf"), 1.0 - B + B * F.col("length") / F.col("avgdl")

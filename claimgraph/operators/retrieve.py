@@ -292,7 +292,7 @@ def retrieve(candidates: Candidates, similar: DataFrame, records: DataFrame, o:
 
 def why(answers: Answers, o: Options = Options()) -> DataFrame:
     """The explanation of each outcome: ``query_id, outcome, coverage, min_coverage, known, min_known,
-    short_of, read_as, unknown, summary``; numbers to two places, ``short_of`` names the bounds missed."""
+    short_of, read_as, unknown, sentence``; numbers to two places, ``short_of`` names the bounds missed."""
     two = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
     said = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
     weak = F.col("outcome") == "weak_matches"
@@ -305,8 +305,8 @@ def why(answers: Answers, o: Options = Options()) -> DataFrame:
     near = F.transform("read_as", lambda r: F.concat(r["asked"], F.lit(" as "), r["read"]))
     missing = F.when(F.size("unknown") > 0, F.concat(F.lit("unknown words: "), F.array_join("unknown", ", ")))
     read = F.when(F.size("read_as") > 0, F.concat(F.lit("taken "), F.array_join(near, ", ")))
-    summary = F.concat_ws("; ", F.when(F.col("outcome") == "none", F.lit("no item meets the question")).otherwise(shown), missing, read)
-    return answers.outcomes.withColumns({"short_of": short, "summary": summary}).select(
+    sentence = F.concat_ws("; ", F.concat(F.lit("outcome "), "outcome"), F.when(F.col("outcome") == "none", F.lit("no item meets the question")).otherwise(shown), missing, read)
+    return answers.outcomes.withColumns({"short_of": short, "sentence": sentence}).select(
         "query_id", "outcome", two("coverage"), F.lit(o.min_coverage).alias("min_coverage"), two("known"), F.lit(o.min_known).alias("min_known"),
-        "short_of", "read_as", "unknown", "summary",
+        "short_of", "read_as", "unknown", "sentence",
     )

@@ -7,7 +7,8 @@ are never compared: the model id is part of every key.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -83,6 +84,42 @@ def hash_embed(text: Column, dims: int = 256, grams: tuple[int, ...] = (3, 4)) -
     return embed(text)
 
 
+@dataclass(frozen=True)
+class Embedder:
+    """A source of vectors: ``document`` and ``query`` take a text column to an array column of ``dims``.
+
+    Models that want questions told apart from documents give another ``query``. With ``window``, so
+    many words at a time are embedded. Vectors of different ``model_id`` are never compared.
+    """
+
+    model_id: str
+    dims: int
+    document: Callable[[Column], Column]
+    query: Callable[[Column], Column]
+    window: int | None = None
+
+    def embedded(self, records: DataFrame) -> DataFrame:
+        """``record_id, window, content_hash, vector`` of records (record_id, text); null texts have none."""
+        rows = records.where(F.col("text").isNotNull()).select("record_id", F.xxhash64("text").alias("content_hash"), "text")
+        rows = rows.select("record_id", F.posexplode(windows(F.col("text"), self.window)).alias("window", "said"), "content_hash")
+        return rows.select("record_id", "window", "content_hash", self.document(F.col("said")).alias("vector"))
+
+
+def windows(text: Column, words: int | None) -> Column:
+    """A text in windows of so many words, joined by blanks; a text without words, or without limit, as it is."""
+    if words is None:
+        return F.array(text)
+    split = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(split), F.lit(1)), F.lit(words))
+    cut = F.transform(starts, lambda i: F.array_join(F.slice(split, i, F.lit(words)), " "))
+    return F.when(F.size(split) > 0, cut).otherwise(F.array(text))
+
+
+def hashing_embedder(dims: int = 256, grams: tuple[int, ...] = (3, 4), window: int | None = None) -> Embedder:
+    embed = lambda text: hash_embed(text, dims, grams)
+    return Embedder(model_id(dims, grams), dims, embed, embed, window)
+
+
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     """Unit rows; what is not a finite vector of the dimension, or is zero, becomes zero."""
     x = np.zeros((len(vectors), dims))
@@ -116,8 +153,15 @@ def exact_similar(
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x, keys = _matrix(b["vector"], dims), b["key"].to_numpy()
+            if not unique and len(b):
+                # Rows of one key count as one, with the best of them, before the k best are taken.
+                of, keys = pd.factorize(b["key"], use_na_sentinel=False)
+                order = np.argsort(of, kind="stable")
+                x, first = x[order], np.flatnonzero(np.diff(of[order], prepend=-1))
             for a in range(0, len(ids), 256):
                 s = q[a : a + 256] @ x.T
+                if not unique and len(b):
+                    s = np.maximum.reduceat(s, first, axis=1)
                 i, j = np.nonzero(s > above)
                 if k is not None and s.shape[1] > k:
                     # All that tie with the k-th best of this batch stay; the final ranking decides.

@@ -41,7 +41,7 @@ def register_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def settlements(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "register_unknowns").select("origin_key", "raw_row").groupBy("origin_key").agg(F.max("raw_row").alias("raw_row"))
+    rows = table(s, d, "register_unknowns").groupBy("origin_key").agg(F.max_by("raw_row", F.struct("ingested_at", "raw_row")).alias("raw_row"))
     return keeper.settlements(formats.parse_register_rows(rows))
 
 
@@ -155,13 +155,18 @@ SQL = {
         WHEN 'attest:unknown-key' THEN 2 WHEN 'attest:unsigned' THEN 1 WHEN 'attest:none' THEN 0 ELSE -1 END AS s FROM ledger_records WHERE author_known_by IS NOT NULL
       ), sp AS (SELECT DISTINCT line // 100 AS id FROM l)
       SELECT id, arg_min(detail, (s, line)) AS detail FROM sp JOIN l ON line BETWEEN id * 100 AND id * 100 + 149 GROUP BY id""",
+    "mentions": r"""WITH m AS (SELECT doc_id::VARCHAR AS id, regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ',
+        '[^0-9A-Za-z-](([DH]-[0-9]{4}|U-[0-9]{1,3}))(?:[^0-9A-Za-z]|$)', 1) AS found FROM documents WHERE text IS NOT NULL
+      ), o AS (SELECT id, unnest(found) AS mentioned, generate_subscripts(found, 1) AS p FROM m
+      ), f AS (SELECT id, mentioned, min(p) AS p FROM o WHERE mentioned <> id GROUP BY ALL)
+      SELECT id, (row_number() OVER (PARTITION BY id ORDER BY p) - 1)::INTEGER AS n, mentioned FROM f""",
     "record_out": WITH + """ SELECT record_id, kind, state, CASE WHEN len(refs) > 0 THEN len(refs) ELSE -1 END::INTEGER AS about,
       CASE WHEN len(sources) > 0 THEN len(sources) ELSE -1 END::INTEGER AS evidence FROM st""",
     "sync_dispositions": SYNC + """ SELECT s.identity, CASE WHEN p.identity IS NULL THEN 'fresh' WHEN p.digest = s.digest THEN 'unchanged'
       ELSE 'changed' END AS disposition FROM src s LEFT JOIN prior p USING (identity)""",
     "absent_records": SYNC + f""" SELECT identity FROM prior WHERE identity NOT IN (SELECT origin_key FROM register_unknowns
       WHERE ingested_at >= TIMESTAMP '{BEFORE}') AND NOT contains(split_part(identity, '#', -1), '/')""",
-    "settlements": f"""WITH r AS (SELECT origin_key, max(raw_row) AS raw_row FROM register_unknowns GROUP BY 1
+    "settlements": f"""WITH r AS (SELECT origin_key, arg_max(raw_row, (epoch_us(ingested_at), raw_row)) AS raw_row FROM register_unknowns GROUP BY 1
       ), t AS (SELECT origin_key, {TAIL} AS tail FROM r), c AS (SELECT origin_key, nullif(regexp_extract(tail, '(^|[^0-9A-Za-z-])([DH]-[0-9]{{4}})([^0-9A-Za-z]|$)', 2), '') AS claim
         FROM t WHERE tail IS NOT NULL)
       SELECT origin_key, CASE WHEN claim IS NULL THEN 'withdraw' ELSE 'answer' END AS action, claim FROM c""",

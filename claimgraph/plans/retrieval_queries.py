@@ -141,6 +141,14 @@ def hash_cosine_top10(s: SparkSession, d: str) -> DataFrame:
     return _rounded(_similar(s, d, 10).withColumnRenamed("similarity", "cosine"), "cosine")
 
 
+def hash_window_top10(s: SparkSession, d: str) -> DataFrame:
+    """The best window of 32 words of each text counts."""
+    embedder = vectors.hashing_embedder(DIMS, window=32)
+    docs = embedder.embedded(_ledger(s, d)[1].select("record_id", "text")).withColumnRenamed("record_id", "key")
+    asked = questions(s, d).select("query_id", embedder.query(F.col("text")).alias("vector"))
+    return _rounded(vectors.exact_similar(docs, asked, DIMS, 10).withColumnsRenamed({"key": "record_id", "similarity": "cosine"}), "cosine")
+
+
 def knn_exact(s: SparkSession, d: str) -> DataFrame:
     """The external vectors: every twentieth asks, the five nearest others answer."""
     rows = table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
@@ -228,6 +236,7 @@ QUERIES = {
     "shadow_counts": shadow_counts,
     "hash_embed_slots": hash_embed_slots,
     "hash_cosine_top10": hash_cosine_top10,
+    "hash_window_top10": hash_window_top10,
     "knn_exact": knn_exact,
     "lsh_top5": lsh_top5,
     "lsh_recall": lsh_recall,
@@ -410,6 +419,12 @@ SQL = {
     + " SELECT id AS query_id, slot::INTEGER AS slot, round(w, 6) AS weight FROM eq",
     "hash_cosine_top10": _admitted(ON, ON, "'promoted'") + SIMILAR + """ SELECT query_id, record_id, round(similarity, 6) AS cosine FROM sim
       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, record_id) <= 10""",
+    "hash_window_top10": _admitted(ON, ON, "'promoted'") + ", w AS (SELECT record_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM v"
+      " WHERE text IS NOT NULL), part AS (SELECT record_id, unnest(range(0, greatest(len(ws), 1)::BIGINT, 32)) AS a, ws FROM w), "
+    + _embedded("ev", "SELECT record_id || '/' || a AS id, array_to_string(ws[a + 1 : a + 32], ' ') AS text FROM part") + ", "
+    + _embedded("eq", f"SELECT query_id AS id, text FROM ({ITEMS})") + """, sim AS (SELECT eq.id AS query_id, split_part(ev.id, '/', 1) AS record_id,
+        sum(eq.w * ev.w) AS c FROM eq JOIN ev USING (slot) GROUP BY eq.id, ev.id), best AS (SELECT query_id, record_id, max(c) AS c FROM sim GROUP BY ALL)
+      SELECT query_id, record_id, round(c, 6) AS cosine FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, record_id) <= 10""",
     "knn_exact": """SELECT a.vec_id AS query_id, b.vec_id AS key, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine
       FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id
       ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 5""",

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from claimgraph.functions.display import state_label
 from claimgraph.operators import graph, lexical, redact, retrieve, state, validate, vectors, views
 from claimgraph.schema import CLOSE_REASONS, ENVELOPE_VERSION, LEGAL, RETIRE_REASONS
+from claimgraph.session import Workspace
 from claimgraph.sources import journal
 
 #: A clock that steps back by no more than this holds record-time; by more, writing is refused.
@@ -529,7 +530,10 @@ class KnowledgeStore:
     which is then held until ``close``; if another process has it, that write is refused.
     """
 
-    def __init__(self, ledger: Ledger, agent: str = "agent", hold: bool = False):
+    def __init__(self, ledger: Ledger, agent: str = "agent", hold: bool = False, embedder: vectors.Embedder | None = None):
+        from claimgraph.index import SearchIndex
+
+        self.index = SearchIndex(ledger, embedder)
         self.ledger, self.agent = ledger, agent
         self.audit_path = f"{ledger.path}/audit.jsonl"
         self.lock = Lock(ledger.path)
@@ -592,16 +596,14 @@ class KnowledgeStore:
 
             spark, led = self.ledger.spark, self.ledger
             asked = spark.createDataFrame([(1, text)], "query_id long, text string")
-            view = views.admitted(led.records, led.effects, self._view(proposed, everything)).cache()
+            view = Workspace(spark, "search").table(views.admitted(led.records, led.effects, self._view(proposed, everything)), "view")
             scoped = self._resolve(scope)
             of = spark.createDataFrame([(1, s) for s in scoped], "query_id long, entity_id string") if scoped else None
-            found = lexical.search(lexical.TextIndex(led.records).write(), asked, view, of)
+            self.index.advance()
+            found = lexical.search(self.index.texts(), asked, view, of)
             similar = spark.createDataFrame([], "query_id long, record_id string, similarity double")
             if vectors_too:
-                docs = views.in_scope(view, scoped).where(F.col("text").isNotNull())
-                docs = docs.select(F.col("record_id").alias("key"), vectors.hash_embed(F.col("text")).alias("vector"))
-                q = asked.select("query_id", vectors.hash_embed(F.col("text")).alias("vector"))
-                similar = vectors.exact_similar(docs, q, 256).withColumnRenamed("key", "record_id")
+                similar = self.index.similar(asked, views.in_scope(view, scoped))
             o = replace(options, k=clamp(k, SEARCH_LIMIT))
             more = None
             if hops:

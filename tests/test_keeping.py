@@ -126,3 +126,41 @@ def test_batches_are_judged_by_what_they_name(spark, ledger):
     got = [(r["seq"], json.loads(r["line"])["recorded_at"]) for r in ingest.numbered(lines.repartition(5), 7).orderBy("seq").collect()]
     assert [n for n, _ in got] == list(range(7, 207)) and [t for _, t in got] == sorted(t for _, t in got)
     assert state.with_state(ledger.records, ledger.effects).count() == 3
+
+
+def test_index_grows_with_the_log(spark, ledger, monkeypatch):
+    from claimgraph.operators import lexical, vectors
+
+    host = S.KnowledgeStore(ledger)
+    a, b = ledger.append([S.Draft(S.text_claim("torque is 24 Nm"), "Ada"), S.Draft(S.text_claim("the seam is dry"), "Ada")])
+    keeper = S.Keeper(ledger, "Ada")
+    keeper.promote_set([a, b])
+    top = lambda text: [r["record_id"] for r in host.search(text).items.where("position = 1").collect()]
+    assert top("torque Nm") == [a] and len(host.index.state()["parts"]) == 1
+    read = []
+    monkeypatch.setattr(lexical.TextIndex, "__init__", lambda *x: read.append(x) or 1 / 0)
+    assert top("dry seam") == [b] and not read and host.index.advance() == 0  # no text is read again
+    monkeypatch.undo()
+    (c,) = ledger.append([S.Draft(S.text_claim("glue cures overnight"), "Ada")])
+    keeper.promote(c)
+    assert top("glue cures") == [c] and len(host.index.state()["parts"]) == 2
+    assert host.index.texts().lengths.count() == 3
+    with pytest.raises(S.Refused, match="model"):
+        S.KnowledgeStore(ledger, embedder=vectors.hashing_embedder(128)).search("glue")
+    ledger.append([S.Draft(S.redaction(record=c, reason="asked to"), "Ada")])
+    ledger.redact()
+    host.search("glue cures")
+    assert len(host.index.state()["parts"]) == 1 and "glue" not in {r["term"] for r in host.index.texts().postings().collect()}
+
+
+def test_best_window_counts(spark):
+    from claimgraph.operators import vectors
+
+    df = spark.createDataFrame([("a", "weld " * 40 + "gauge drift " * 4), ("b", "  "), ("c", None), ("d", "x")], "record_id string, text string")
+    e = vectors.hashing_embedder(window=8)
+    rows = e.embedded(df)
+    assert {r["record_id"]: r["count"] for r in rows.groupBy("record_id").count().collect()} == {"a": 6, "b": 1, "d": 1}
+    q = spark.createDataFrame([(1, "gauge drift")], "query_id long, text string").select("query_id", e.query(F.col("text")).alias("vector"))
+    best = vectors.exact_similar(rows.withColumnRenamed("record_id", "key"), q, 256).where("key = 'a'").collect()
+    whole = vectors.exact_similar(vectors.hashing_embedder().embedded(df).withColumnRenamed("record_id", "key"), q, 256).where("key = 'a'").collect()
+    assert len(best) == 1 and best[0]["similarity"] > 0.99 > whole[0]["similarity"]
