@@ -226,6 +226,50 @@ def test_leakage_awkward_rows(spark):
     assert leakage.leaked_spans(d.where("false"), F.col("key"), F.col("text"), items).count() == 0
 
 
+def test_items_beyond_the_search_are_joined(spark, monkeypatch):
+    r = random.Random(61)
+    voc = [f"w{c}" for c in "abcdef"]
+    items = [(str(i), f, " ".join(r.choices(voc, k=r.randrange(2, 14)))) for i in range(20) for f in ("question", "expect")]
+    items += [("copy", "expect", items[0][2]), items[1], ("b", "q", "plinth wa sun bleached wb"), ("c", "q", "plinth wa sunbleached wb"), ("n", "q", None), (None, "q", "wa wb wc wd")]
+    docs = [(str(d % 50), " ".join(r.choices([*voc, "other"], k=r.randrange(0, 80)))) for d in range(70)]
+    docs += [("x", "wa " * 3000), ("y", "the pli-\nnth wa sun-\nbleached wb"), ("z", "plinth wa sun bleached wb"), (None, "wa wb wc wd"), ("u", None), docs[0]]
+    d = spark.createDataFrame(docs, "key string, text string")
+    it = spark.createDataFrame([*items, ("long", "q", "wa " * 9)], "item string, field string, text string")
+    spans = lambda: sorted(leakage.leaked_spans(d, F.col("key"), F.col("text"), it, run=4).collect())
+    searched = spans()
+    assert {("y", "c"), ("z", "b"), ("x", "long")} <= {(s["doc"], s["item"]) for s in searched} and ("y", "b") not in {(s["doc"], s["item"]) for s in searched}
+    # Nothing of the items is taken apart on the driver then.
+    monkeypatch.setattr(leakage, "MAX_ITEM_BYTES", 90)
+    monkeypatch.setattr(leakage, "Phrases", None)
+    assert spans() == searched
+    monkeypatch.setattr(leakage, "BLOOM", 1)  # as for more items than the filter holds
+    assert spans() == searched
+
+
+def test_places_of_items_in_parts(monkeypatch):
+    r = random.Random(62)
+    texts = [" ".join(r.choices("ab", k=9)) for _ in range(12)]
+    phrases = leakage.Phrases([(str(i), "q", texts[i % 10]) for i in range(12)], 3)
+    numbers = [np.array([*(r.randrange(1, 3) for _ in range(n)), 0], np.int32) for n in (3, 40, 5, 200)]
+    places = [np.arange(len(x), dtype=np.int32) for x in numbers]
+
+    def spans():
+        frames = list(leakage._search(list("pqrs"), numbers, places, phrases, 3))
+        assert max(map(len, frames)) <= leakage.AT_ONCE
+        return sorted(row for f in frames for row in f.itertuples(index=False, name=None))
+
+    whole = spans()
+    assert {s[0] for s in whole} == set("pqrs")
+    for at_once in (1, 7, 50):
+        monkeypatch.setattr(leakage, "AT_ONCE", at_once)
+        assert spans() == whole
+
+
+def test_numbers_of_characters_of_any_length():
+    got = leakage.seen_words("a &#" + "9" * 5000 + "; &#" + "0" * 5000 + "66; &#65;&#x43; &#99999999 b")
+    assert got == ["a", "b", "ac", "b"]
+
+
 # ── 7 mixtures ──
 
 
