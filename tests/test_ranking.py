@@ -90,7 +90,7 @@ def test_ranking_where_places_are_shared(spark):
     assert ranking.rank(ranking.write(d.limit(0), view.limit(0), 64), q)[0].where("what <> 'total'").count() == 0
 
 
-NAMES = ["outcomes"]
+NAMES = ["outcomes", "titles_folded"]
 
 
 @pytest.mark.parametrize("name", NAMES)
