@@ -90,7 +90,7 @@ def test_ranking_where_places_are_shared(spark):
     assert ranking.rank(ranking.write(d.limit(0), view.limit(0), 64), q)[0].where("what <> 'total'").count() == 0
 
 
-NAMES = ["outcomes", "titles_folded", "why", "answer_items", "expanded_items", "hybrid_items", "uncovered_kept", "answer_excerpts", "gap_offers", "outcome_tags", "beyond_view"]
+NAMES = ["outcomes", "titles_folded", "why", "answer_items", "expanded_items", "hybrid_items", "uncovered_kept", "answer_excerpts", "gap_offers", "outcome_tags", "beyond_view", "golden_grade"]
 
 
 @pytest.mark.parametrize("name", NAMES)
